@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity with documents measured in tokens.
 
 A linear grouping scheme: large lengths are rounded up within groups of equal cardinality, so that few sizes
-are left; configurations of those sizes that fill a container best are chosen one after another, each used
-as often as the groups allow; the actual documents take the places of their group's size; small documents
+are left; configurations that hold the largest size left and fill a container best are chosen one after another,
+each used as often as the groups allow; the actual documents take the places of their group's size; small documents
 then go where they fit best. Only a document larger than a container is cut: into full containers and a rest,
 which is packed as any other item.
 
@@ -30,7 +30,7 @@ BLOCK = 20_000
 #: Items larger than this share of a container are grouped; the rest is small.
 LARGE = 1 / 8
 #: Sizes that the large items are rounded up to.
-GROUPS = 40
+GROUPS = 200
 #: Characters that are encoded at a time; longer texts are cut before a blank, where tokens end anyway.
 CHUNK = 200_000
 
@@ -125,7 +125,9 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         left = [len(q) for q in queues]
         while any(left):
             live = [k for k in range(len(size)) if left[k]]
-            conf = configuration([size[k] for k in live], [left[k] for k in live], capacity)
+            # the largest size left is in it, so that nothing hard to place is left to the end
+            conf = configuration([size[k] for k in live], [left[k] - (k == live[0]) for k in live], capacity - size[live[0]])
+            conf[0] += 1
             times = min(left[k] // a for k, a in zip(live, conf, strict=True) if a)
             for _ in range(times):
                 c, fill, at = len(used), 0, 0
