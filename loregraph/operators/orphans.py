@@ -126,10 +126,9 @@ def lifetimes(parents: DataFrame, keys: list[str], since: str = "extracted_at",
 def hot_keys(refs: DataFrame, key: str, share: float = HOT) -> DataFrame:
     """At most ``1/share`` keys that may be hot, from a sketch of frequent items (no sort, no full count)."""
     k = round(1 / share)
-    top = refs.agg(F.expr(f"approx_top_k(`{key}`, {k}, {8 * k})").alias("t"))
-    total = refs.agg(F.count(F.lit(1)).alias("n"))
-    each = top.select(F.explode("t").alias("e")).select(F.col("e.item").alias(key), F.col("e.count").alias("c"))
-    return each.crossJoin(F.broadcast(total)).where(F.col("c") > F.lit(share) * F.col("n")).select(key)
+    top = refs.agg(F.expr(f"approx_top_k(`{key}`, {k}, {8 * k})").alias("t"), F.count(F.lit(1)).alias("n"))
+    each = top.select(F.explode("t").alias("e"), "n").select(F.col("e.item").alias(key), F.col("e.count").alias("c"), "n")
+    return each.where(F.col("c") > F.lit(share) * F.col("n")).select(key)
 
 
 def lifetime_orphans(refs: DataFrame, parents: DataFrame, at: str = "recorded_at") -> DataFrame:
