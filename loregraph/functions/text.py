@@ -21,8 +21,9 @@ HTTP_STATUS = {400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "
                415: "Unsupported Media Type", 422: "Unprocessable Entity", 429: "Too Many Requests", 500: "Internal Server Error", 501: "Not Implemented", 502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Timeout"}
 
 
-def words_array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def one_of(word: Column, words: list[str]) -> Column:
+    """Whether a word is in a fixed list, as one pattern: a literal that is compiled once."""
+    return word.rlike("^(?:" + "|".join(words) + ")$")
 
 
 def camel_parts(word: Column) -> Column:
@@ -35,13 +36,13 @@ def query_tokens(text: Column) -> Column:
     """Search tokens in order of first appearance: numbers whole, names by their parts, more than two letters, no stopwords."""
     words = F.regexp_extract_all(text, F.lit("[a-zA-Z0-9]+"), F.lit(0))
     each = F.flatten(F.transform(words, lambda w: F.when(w.rlike("^[0-9]+$"), F.array(w)).otherwise(F.transform(camel_parts(w), F.lower))))
-    keep = F.filter(each, lambda w: w.rlike("^[0-9]+$") | ((F.length(w) > 2) & ~F.array_contains(words_array(STOPWORDS), w)))
+    keep = F.filter(each, lambda w: w.rlike("^[0-9]+$") | ((F.length(w) > 2) & ~one_of(w, STOPWORDS)))
     return F.array_distinct(keep)
 
 
 def summary_words(text: Column) -> Column:
     """Lower-case words of more than two letters that aren't stopwords; repetitions stay."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~F.array_contains(words_array(STOPWORDS), w))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~one_of(w, STOPWORDS))
 
 
 def statement_keywords(text: Column) -> Column:
@@ -56,7 +57,7 @@ def identifiers(text: Column) -> Column:
     """Words that look like names of code: mixed case, snake case, or at least four lower-case letters."""
     every = F.regexp_extract_all(text, F.lit("(?<![a-zA-Z0-9_])[a-zA-Z_][a-zA-Z0-9_]*(?![a-zA-Z0-9_])"), F.lit(0))
     named = lambda w: F.when(w.rlike("[a-z].*[A-Z]|[A-Z].*[a-z]"), True).when(w == F.upper(w), False).otherwise(w.contains("_") | (F.length(w) >= 4))
-    return F.filter(every, lambda w: (F.length(w) > 2) & ~F.array_contains(words_array(COMMON_WORDS), F.lower(w)) & named(w))
+    return F.filter(every, lambda w: (F.length(w) > 2) & ~one_of(F.lower(w), COMMON_WORDS) & named(w))
 
 
 def http_status(condition: Column, action: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loregraph.functions.paths import basename, confidence, dirname, segment_score, similarity
 from loregraph.functions.text import camel_parts, http_status, query_tokens, statement_keywords, summary_words
+from loregraph.session import cut
 
 #: Weight of a hit by the kind of entry.
 WEIGHTS = {"export": 10, "pattern": 8, "error": 7, "keyStatement": 5, "summary": 3, "module": 2}
@@ -21,13 +22,15 @@ CONFIG_FILES = ["package.json", "tsconfig.json", ".env", ".env.example", "jest.c
 
 def keyword_index(functions: DataFrame, modules: DataFrame, patterns: DataFrame | None = None, prose: DataFrame | None = None) -> DataFrame:
     """(kind, token, repo, path), each once: exported names with their parts, key statements, error statuses, modules, patterns and summaries."""
-    f = functions.select("repo", "path", "func_name", "is_exported", "key_statements")
-    names = f.where("is_exported").select("repo", "path", F.explode(F.concat(F.array("func_name"), F.filter(camel_parts(F.col("func_name")), lambda p: F.length(p) > 2))).alias("token")).withColumn("kind", F.lit("export"))
-    st = f.select("repo", "path", F.explode("key_statements").alias("s"))
-    keys = st.select("repo", "path", F.explode(statement_keywords(F.col("s.text"))).alias("token")).withColumn("kind", F.lit("keyStatement"))
-    errors = st.where(F.col("s.category").isin("error", "condition")).select("repo", "path", http_status(F.col("s.text"), F.lit("")).cast("string").alias("token")).where("token IS NOT NULL").withColumn("kind", F.lit("error"))
-    mods = modules.select("repo", F.col("module").alias("path"), basename(F.col("module")).alias("token")).withColumn("kind", F.lit("module"))
-    out = names.unionByName(keys).unionByName(errors).unionByName(mods)
+    entry = lambda kind: lambda token: F.struct(F.lit(kind).alias("kind"), F.lower(token).alias("token"))
+    none = F.expr("array()").cast("array<struct<kind:string,token:string>>")
+    names = F.when(F.col("is_exported"), F.transform(F.concat(F.array("func_name"), F.filter(camel_parts(F.col("func_name")), lambda p: F.length(p) > 2)), entry("export"))).otherwise(none)
+    keys = F.flatten(F.transform("key_statements", lambda s: F.transform(statement_keywords(s["text"]), entry("keyStatement"))))
+    status = F.transform(F.filter("key_statements", lambda s: s["category"].isin("error", "condition")), lambda s: http_status(s["text"], F.lit("")).cast("string"))
+    errors = F.transform(F.array_compact(status), entry("error"))
+    every = F.array_distinct(F.concat(names, F.coalesce(keys, none), F.coalesce(errors, none)))
+    out = functions.select("repo", "path", F.explode(every).alias("e")).select("repo", "path", "e.token", "e.kind")
+    out = out.unionByName(modules.select("repo", F.col("module").alias("path"), basename(F.col("module")).alias("token")).withColumn("kind", F.lit("module")))
     if patterns is not None:
         out = out.unionByName(patterns.select("repo", "path", F.col("pattern").alias("token")).withColumn("kind", F.lit("pattern")))
     if prose is not None:
@@ -46,6 +49,7 @@ def prefilter(spark: SparkSession, query: str, index: DataFrame, parents: DataFr
     weights = spark.createDataFrame([(k, w, i) for i, (k, w) in enumerate(WEIGHTS.items())], "kind string, weight int, rank int")
     hits = index.join(F.broadcast(tokens), "token").join(F.broadcast(weights), "kind")
     found = hits.groupBy("repo", "path").agg(F.sum("weight").cast("long").alias("score"), F.array_sort(F.collect_set(F.concat_ws(": ", "kind", "token"))).alias("reasons"), F.bool_or(F.col("kind") == "module").alias("is_module"))
+    found = cut(found)  # a few rows, read four times below
     above = found.where("NOT is_module").join(parents.select("repo", F.col("src").alias("path"), "dst"), ["repo", "path"]).select("repo", F.col("dst").alias("path")).distinct().join(found, ["repo", "path"], "left_anti")
     mods = above.select("repo", "path", F.lit(1).cast("long").alias("score"), F.array(F.lit("parent of matched file")).alias("reasons"), F.lit(True).alias("is_module"))
     top = fan.where(F.col("fan_in") >= HIGH_FAN_IN).orderBy(F.desc("fan_in"), "repo", "path").limit(BONUS_FILES).select("repo", "path", F.lit(1).cast("long").alias("score"), F.array(F.lit("high fanIn")).alias("reasons"), F.lit(False).alias("is_module"))

@@ -55,33 +55,25 @@ def error_statuses(functions: DataFrame) -> DataFrame:
     return e.withColumn("description", F.when(F.col("status").isNotNull(), F.coalesce(F.try_element_at(names, "status"), F.concat(F.lit("HTTP "), F.col("status").cast("string")))))
 
 
-def retry_pattern(functions: DataFrame) -> DataFrame:
-    """(repo, path, pattern, location): functions that loop, catch and either back off or count retries."""
+def patterns(functions: DataFrame) -> DataFrame:
+    """(repo, path, pattern, location), each once, from one pass over the functions.
+
+    ``retry``: a function that loops, catches and either backs off or counts its retries (the loop may be told
+    from the last two). ``cache``: a file with two functions or more that work on a cache, by name or code.
+    ``singleton``: a file with code that keeps one instance, or a function named so.
+    """
     s = F.coalesce("key_statements", F.expr("array()").cast(functions.schema["key_statements"].dataType))
-    has = lambda *c: F.exists(s, lambda x: x["category"].isin(*c[:1]) & x["text"].rlike(c[1]))
+    has = lambda category, text: F.exists(s, lambda x: (x["category"] == category) & x["text"].rlike(text))
     counted, backoff, caught = has("config", "retry|attempt"), has("math", r"Math\.pow|\*\*"), F.exists(s, lambda x: x["category"] == "error")
-    loop = F.coalesce(F.col("code_snippet"), F.lit("")).rlike(r"\b(?:for|while)\s*\(") | (counted & caught)
-    return functions.where(loop & caught & (backoff | counted)).select("repo", "path", F.lit("retry").alias("pattern"), F.concat_ws(":", "path", "func_name").alias("location")).distinct()
-
-
-def cache_pattern(functions: DataFrame) -> DataFrame:
-    """(repo, path, pattern, location): files with two functions or more that work on a cache, by name or code."""
-    name = F.lower("func_name")
-    by_name = name.contains("cache") & name.rlike("|".join(CACHE_OPERATIONS))
-    hit = functions.where(by_name | F.lower(F.coalesce("code_snippet", F.lit(""))).contains("cache"))
-    g = hit.groupBy("repo", "path").agg(F.countDistinct("func_name").alias("n")).where("n >= 2")
-    return g.select("repo", "path", F.lit("cache").alias("pattern"), F.col("path").alias("location"))
-
-
-def singleton_pattern(functions: DataFrame) -> DataFrame:
-    """(repo, path, pattern, location): files with code that keeps one instance, or a function named so."""
     code, name = F.lower(F.coalesce("code_snippet", F.lit(""))), F.lower("func_name")
-    own = (code.contains("instance") & code.rlike("null|undefined") & code.rlike(r"\bnew\b|create")) | (name.contains("get") & name.contains("instance"))
-    return functions.where(own).select("repo", "path", F.lit("singleton").alias("pattern"), F.col("path").alias("location")).distinct()
-
-
-def patterns(functions: DataFrame) -> DataFrame:
-    return retry_pattern(functions).unionByName(cache_pattern(functions)).unionByName(singleton_pattern(functions))
+    loop = code.rlike(r"\b(?:for|while)\s*\(") | (counted & caught)
+    cache = (name.contains("cache") & name.rlike("|".join(CACHE_OPERATIONS))) | code.contains("cache")
+    single = (code.contains("instance") & code.rlike("null|undefined") & code.rlike(r"\bnew\b|create")) | (name.contains("get") & name.contains("instance"))
+    mark = lambda on, what, where: F.when(F.coalesce(on, F.lit(False)), F.struct(F.lit(what).alias("pattern"), where.alias("location")))
+    marks = F.array_compact(F.array(mark(loop & caught & (backoff | counted), "retry", F.concat_ws(":", "path", "func_name")), mark(cache, "cache", F.col("path")), mark(single, "singleton", F.col("path"))))
+    each = functions.select("repo", "path", "func_name", F.explode(marks).alias("m")).select("repo", "path", "func_name", "m.pattern", "m.location").distinct()
+    g = each.groupBy("repo", "path", "pattern", "location").agg(F.count(F.lit(1)).alias("_n"))
+    return g.where((F.col("pattern") != "cache") | (F.col("_n") >= 2)).drop("_n")
 
 
 def claim_confidence(claims: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
