@@ -40,15 +40,28 @@ def without_extension(p: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(p, r"^\./", ""), r"\.(?:ts|js|tsx|jsx)$", "")
 
 
+def lower_parts(p: Column) -> Column:
+    return F.split(F.lower(p), "/")
+
+
+def full_parts(p: Column) -> Column:
+    """The parts of a path that aren't empty."""
+    return F.filter(F.split(p, "/"), lambda s: s != "")
+
+
 def similarity(query: Column, candidate: Column) -> Column:
-    """How well a candidate path answers a misspelt one.
+    """``parts_similarity`` of two paths."""
+    return parts_similarity(lower_parts(query), lower_parts(candidate))
+
+
+def parts_similarity(q: Column, c: Column) -> Column:
+    """How well a candidate path answers a misspelt one; both as ``lower_parts``.
 
     The same file name earns 50, another one 20 less twice the edits (0 at least). Each pair of directories at
     the same depth earns 10 if equal, 5 less the difference in length if one starts the other, else loses the
     edits. Each level of difference in depth costs 5. Files of the same name under clearly different second
     directories lose 30.
     """
-    q, c = F.split(F.lower(query), "/"), F.split(F.lower(candidate), "/")
     nq, nc = F.size(q) - 1, F.size(c) - 1
     qf, cf = F.element_at(q, -1), F.element_at(c, -1)
     name = F.when(qf == cf, 50).otherwise(F.greatest(F.lit(0), 20 - 2 * F.levenshtein(qf, cf)))
@@ -67,9 +80,8 @@ def confidence(score: Column) -> Column:
     return F.floor(F.least(F.greatest(score / F.lit(70.0), F.lit(0.0)), F.lit(1.0)) * 100 + 0.5) / 100
 
 
-def segment_score(target: Column, path: Column) -> Column:
-    """Shared segments: 3 for the file name, 2 for each directory of the target that the path has, 1 for each that extends one."""
-    t, p = (F.filter(F.split(x, "/"), lambda s: s != "") for x in (target, path))
+def segment_score(t: Column, p: Column) -> Column:
+    """Shared segments: 3 for the file name, 2 for each directory of the target that the path has, 1 for each that extends one; both as ``full_parts``."""
     td, pd_ = F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))
     same = F.when(F.element_at(F.concat(F.array(F.lit("")), t), -1) == F.element_at(F.concat(F.array(F.lit("/")), p), -1), 3).otherwise(0)
     per = lambda d: F.when(F.array_contains(pd_, d), 2).otherwise(0) + F.size(F.filter(pd_, lambda x: x.startswith(d) & (x != d)))

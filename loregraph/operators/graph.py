@@ -97,16 +97,18 @@ def ages(nodes: DataFrame, now: str) -> DataFrame:
 def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
     """(repo, node, depth): who depends on the seeds (repo, node), each at its least depth.
 
-    Edges point from dependent to dependency. The frontier is joined with the edges, rid of what was visited,
+    Seeds with further columns, such as the request they belong to, are followed apart for each of these, and the
+    columns are kept. Edges point from dependent to dependency. The frontier is joined with the edges, rid of what was visited,
     and goes on until it is empty; nodes at ``max_depth`` are reported but not followed. Seeds are left out,
     targets that are no nodes are in. Every round is a checkpoint in the shared folder.
     """
     back = cut(edges.where(F.col("src") != F.col("dst")).select("repo", F.col("dst").alias("node"), F.col("src").alias("next")).distinct())
-    frontier = cut(seeds.select("repo", "node").distinct())
+    own = [c for c in seeds.columns if c != "node"]
+    frontier = cut(seeds.select(*own, "node").distinct())
     seen = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
-        step = frontier.join(back, ["repo", "node"]).select("repo", F.col("next").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["repo", "node"], "left_anti"))
+        step = frontier.join(back, ["repo", "node"]).select(*own, F.col("next").alias("node")).distinct()
+        frontier = cut(step.join(seen, [*own, "node"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
@@ -114,18 +116,20 @@ def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame
 
 
 def tests_for(impacted: DataFrame, seeds: DataFrame, tests: DataFrame) -> DataFrame:
-    """(repo, test) of the test files of the seeds and of all that depends on them, once."""
-    nodes = impacted.select("repo", "node").unionByName(seeds.select("repo", "node")).distinct()
-    return tests.join(nodes.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi").select("repo", F.col("dst").alias("test")).distinct()
+    """(repo, test) of the test files of the seeds and of all that depends on them, once; further columns of the seeds as in ``impact``."""
+    own = [c for c in seeds.columns if c != "node"]
+    nodes = impacted.select(*own, "node").unionByName(seeds.select(*own, "node")).distinct()
+    return tests.join(nodes.withColumnRenamed("node", "src"), ["repo", "src"]).select(*own, F.col("dst").alias("test")).distinct()
 
 
 def bundle(requested: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(repo, node, hop): the requested nodes and, one hop away, what they import, their module and their test."""
-    own = edges.where(F.col("edge_type").isin("imports", "parent", "testFile")).join(requested.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
-    near = own.select("repo", F.col("dst").alias("node")).withColumn("hop", F.lit(1))
-    both = requested.select("repo", "node").withColumn("hop", F.lit(0)).unionByName(near)
+    """(repo, node, hop): the requested nodes and, one hop away, what they import, their module and their test; further columns of ``requested`` as in ``impact``."""
+    own = [c for c in requested.columns if c != "node"]
+    out = edges.where(F.col("edge_type").isin("imports", "parent", "testFile")).join(requested.withColumnRenamed("node", "src").distinct(), ["repo", "src"])
+    near = out.select(*own, F.col("dst").alias("node")).withColumn("hop", F.lit(1))
+    both = requested.select(*own, "node").withColumn("hop", F.lit(0)).unionByName(near)
     known = nodes.select("repo", F.col("path").alias("node")).distinct()
-    return both.join(known, ["repo", "node"], "left_semi").groupBy("repo", "node").agg(F.min("hop").alias("hop"))
+    return both.join(known, ["repo", "node"], "left_semi").groupBy(*own, "node").agg(F.min("hop").alias("hop"))
 
 
 def consumers(exported: DataFrame, calls: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loregraph.functions.paths import basename, confidence, dirname, segment_score, similarity
+from loregraph.functions.paths import basename, confidence, dirname, full_parts, lower_parts, parts_similarity, segment_score
 from loregraph.functions.text import camel_parts, http_status, query_tokens, statement_keywords, summary_words
 from loregraph.session import cut
 
@@ -16,6 +17,8 @@ WEIGHTS = {"export": 10, "pattern": 8, "error": 7, "keyStatement": 5, "summary":
 CANDIDATES, HIGH_FAN_IN, BONUS_FILES = 25, 5, 5
 AUTO, SUGGEST = 0.7, 0.4
 MAX_PATTERN = 200
+#: Paths and queries of a block, where there are many queries: a task scores one block of each against the other.
+PATHS, QUERIES = 500, 1000
 # Names of configuration files.
 CONFIG_FILES = ["package.json", "tsconfig.json", ".env", ".env.example", "jest.config.js", "jest.config.ts", "vitest.config.ts", "vitest.config.js", "eslint.config.js", ".eslintrc.json", ".eslintrc.js", "prettier.config.js", ".prettierrc", ".prettierrc.json", "tsup.config.ts", "tsup.config.js", "vite.config.ts", "vite.config.js", "webpack.config.js", "rollup.config.js", "babel.config.js", ".babelrc"]
 
@@ -65,29 +68,42 @@ def candidate_lines(candidates: DataFrame, prose: DataFrame) -> DataFrame:
     return own.select("repo", "path", F.concat_ws("", "path", F.lit(": "), F.coalesce("summary", F.lit("(no summary)")), F.lit(" [Matched: "), F.array_join("reasons", ", "), F.lit("]")).alias("line"))
 
 
-def fuzzy(queries: DataFrame, files: DataFrame, k: int = 3) -> DataFrame:
-    """(query, path, score, confidence, rank): the best ``k`` paths with a positive score for each query.
+def _ranked(queries: DataFrame, files: DataFrame, parts: Callable[[Column], Column], score: Callable[[Column, Column], Column], k: int, many: bool) -> DataFrame:
+    """(query, path, score, rank): the best ``k`` paths with a positive score for each query; ties by path.
 
-    ``queries`` is a handful of paths, joined by broadcast; each path is scored once per query.
+    A handful of queries is broadcast. ``many`` are searched block by block, every block of them against every
+    block of paths, without a broadcast; a task keeps the best ``k`` of its pairs, so little is shuffled.
     """
-    pairs = files.select("path").distinct().join(F.broadcast(queries.select("query").distinct())).withColumn("score", similarity(F.col("query"), F.col("path"))).where("score > 0")
+    p, q = files.select("path").distinct(), queries.select("query").distinct()
+    if many:
+        p, q = cut(p), cut(q)
+        p, q = p.repartition(p.count() // PATHS + 1, "path"), q.repartition(q.count() // QUERIES + 1, "query")
+    p, q = p.withColumn("_p", parts(F.col("path"))), q.withColumn("_q", parts(F.col("query")))
+    pairs = p.hint("shuffle_replicate_nl").crossJoin(q) if many else p.crossJoin(F.broadcast(q))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "path")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("confidence", confidence(F.col("score")))
+    best = pairs.select("query", "path", score(F.col("_q"), F.col("_p")).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.where("score > 0")  # after the rank: before it, each pair would be scored once for the filter and once more
 
 
-def fuzzy_match(queries: DataFrame, files: DataFrame) -> DataFrame:
+def fuzzy(queries: DataFrame, files: DataFrame, k: int = 3, many: bool = False) -> DataFrame:
+    """(query, path, score, rank, confidence): the best ``k`` paths with a positive score for each query.
+
+    ``queries`` is a handful of paths, or ``many``; each path is scored once per query.
+    """
+    return _ranked(queries, files, lower_parts, parts_similarity, k, many).withColumn("confidence", confidence(F.col("score")))
+
+
+def fuzzy_match(queries: DataFrame, files: DataFrame, many: bool = False) -> DataFrame:
     """(query, matched, alternatives): the best path if it is good enough, and what else may be meant."""
-    best = fuzzy(queries, files, 5).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "confidence"))).alias("b"))
+    best = fuzzy(queries, files, 5, many).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "confidence"))).alias("b"))
     top = F.get("b", F.lit(0))
     paths = F.transform("b", lambda x: x["path"])
     return best.select("query", F.when(top["confidence"] >= SUGGEST, top["path"]).alias("matched"), F.when(top["confidence"] >= AUTO, F.slice(paths, 2, 3)).otherwise(F.slice(paths, 1, 3)).alias("alternatives"))
 
 
-def similar_paths(queries: DataFrame, files: DataFrame, k: int = 3) -> DataFrame:
+def similar_paths(queries: DataFrame, files: DataFrame, k: int = 3, many: bool = False) -> DataFrame:
     """(query, path, score, rank) by shared segments."""
-    pairs = files.select("path").distinct().join(F.broadcast(queries.select("query").distinct())).withColumn("score", segment_score(F.col("query"), F.col("path"))).where("score > 0")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "path")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _ranked(queries, files, full_parts, segment_score, k, many)
 
 
 def check_pattern(pattern: str) -> str | None:

@@ -13,6 +13,7 @@ from loregraph.sources.tables import latest, table
 NOW = "2025-07-01 00:00:00"
 QUESTION = "How does retryLoad keep the session token in cache when 404 errors happen?"
 ASKED = ["src/cahce/badge.ts", "src/mail/types.ts", "src/search/acount-index.ts"]
+EVERY = 50
 GREP = "promise\\.all|session"
 
 
@@ -51,6 +52,16 @@ def _seed(s, d):
     return top.orderBy(F.desc("n"), "node").limit(1).select("repo", "node")
 
 
+def _every(s, d):
+    """The prescribed set of requests: the files of all rows whose id is divisible by EVERY, in every repository."""
+    return table(s, d, "file_nodes").where(F.col("file_id") % EVERY == 0).select("repo", "path").distinct()
+
+
+def _seeds(s, d):
+    """(repo, seed, node): each file of the prescribed set as a request of its own."""
+    return _every(s, d).select("repo", F.col("path").alias("seed"), F.col("path").alias("node"))
+
+
 def _index(s, d):
     f = _functions(s, d)
     prose = _prose(s, d)
@@ -161,6 +172,22 @@ def context_bundle(s, d):
     return graph.bundle(_seed(s, d), _edges(s, d), _files(s, d))
 
 
+def impact_bfs_every(s, d):
+    return graph.impact(_imports(s, d), _seeds(s, d))
+
+
+def impact_by_depth_every(s, d):
+    return impact_bfs_every(s, d).groupBy("repo", "seed", "depth").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def tests_for_impact_every(s, d):
+    return graph.tests_for(impact_bfs_every(s, d), _seeds(s, d), _edges(s, d).where("edge_type = 'testFile'"))
+
+
+def context_bundle_every(s, d):
+    return graph.bundle(_seeds(s, d), _edges(s, d), _files(s, d))
+
+
 def _calls(s, d):
     c = latest(table(s, d, "cross_file_calls"), "call_id", "recorded_at").where("callee IS NOT NULL AND caller IS NOT NULL")
     return c.select("repo", F.col("caller").alias("src"), F.regexp_replace("callee", r"^\./", "").alias("dst"), "imported_as")
@@ -240,6 +267,22 @@ def similar_paths(s, d):
     return search.similar_paths(_asked(s), _files(s, d)).select("query", "path", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _every_path(s, d):
+    return _every(s, d).select(F.col("path").alias("query"))
+
+
+def fuzzy_paths_every(s, d):
+    return search.fuzzy(_every_path(s, d), _files(s, d), many=True).select("query", "path", F.col("score").cast("long").alias("score"), "confidence", F.col("rank").cast("long").alias("rank"))
+
+
+def fuzzy_match_every(s, d):
+    return search.fuzzy_match(_every_path(s, d), _files(s, d), many=True).withColumn("alternatives", F.array_join("alternatives", "|"))
+
+
+def similar_paths_every(s, d):
+    return search.similar_paths(_every_path(s, d), _files(s, d), many=True).select("query", "path", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def grep_union(s, d):
     return search.grep(_functions(s, d), GREP, "src/").groupBy("repo", "path", "kind").agg(F.count(F.lit(1)).alias("matches"))
 
@@ -334,7 +377,8 @@ def part_index(s, d):
 _NAMES = """keyword_index prefilter_topk candidate_lines tokenize_docs summary_words_top statement_keywords fan_in_out age_recency commit_rollup primary_author recent_commits module_nodes
 contains_edges parent_edges imports_resolved import_counts imported_by test_files impact_bfs impact_by_depth tests_for_impact context_bundle function_consumers cross_calls called_by importers
 reexport_chain suffix_join affected_functions entry_points overview_tree relationships config_files fuzzy_paths fuzzy_match similar_paths grep_union http_status errors_by_status inline_comments
-markers key_statement_lines comment_functions pattern_files content_hash changed_files upsert_merge stale_nodes claim_confidence token_cost target_counts deprecations manifest_dependencies part_index""".split()
+markers key_statement_lines comment_functions pattern_files content_hash changed_files upsert_merge stale_nodes claim_confidence token_cost target_counts deprecations manifest_dependencies part_index
+fuzzy_paths_every fuzzy_match_every similar_paths_every impact_bfs_every impact_by_depth_every tests_for_impact_every context_bundle_every""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 from loregraph.plans.oracle import ORACLES  # noqa: E402, F401
