@@ -40,14 +40,15 @@ class Engine:
         return row.asDict(recursive=True)
 
     def context(self, repo: str, paths: list[str], form: str = "markdown") -> str | list[dict]:
-        """The requested files and what is one hop away."""
+        """The requested files and what is one hop away, their modules too."""
         seeds = self.spark.createDataFrame([(repo, p.strip()) for p in paths if p.strip()], "repo string, node string")
         if not paths or not any(p.strip() for p in paths):
             raise ValueError("no files asked for")
-        b = graph.bundle(seeds, catalog._edges(self.spark, self.folder), catalog._files(self.spark, self.folder))
+        b = graph.bundle(seeds, catalog._edges(self.spark, self.folder), catalog._files(self.spark, self.folder), catalog._modules(self.spark, self.folder))
+        modules = catalog._modules(self.spark, self.folder).select("repo", F.col("module").alias("node"), F.lit("module").alias("type"))
         fan = catalog._fan(self.spark, self.folder).withColumnRenamed("path", "node")
         prose = catalog._prose(self.spark, self.folder).withColumnRenamed("path", "node")
-        rows = [{"path": r.node, "hop": r.hop, "fan_in": r.fan_in or 0, "summary": r.summary} for r in b.join(fan, ["repo", "node"], "left").join(prose, ["repo", "node"], "left").collect()]
+        rows = [{"path": r.node, "type": r.type or "file", "hop": r.hop, "fan_in": r.fan_in or 0, "summary": r.summary} for r in b.join(fan, ["repo", "node"], "left").join(prose, ["repo", "node"], "left").join(modules, ["repo", "node"], "left").collect()]
         return markdown.context(rows) if form == "markdown" else rows
 
     def impact(self, repo: str, path: str, form: str = "json") -> str | dict:

@@ -122,14 +122,21 @@ def tests_for(impacted: DataFrame, seeds: DataFrame, tests: DataFrame) -> DataFr
     return tests.join(nodes.withColumnRenamed("node", "src"), ["repo", "src"]).select(*own, F.col("dst").alias("test")).distinct()
 
 
-def bundle(requested: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(repo, node, hop): the requested nodes and, one hop away, what they import, their module and their test; further columns of ``requested`` as in ``impact``."""
+def bundle(requested: DataFrame, edges: DataFrame, nodes: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """(repo, node, hop): the requested nodes and, one hop away, what they import, their module and their test.
+
+    Recorded edges have no modules: these come out only with ``modules`` (repo, module). Further columns of
+    ``requested`` as in ``impact``.
+    """
+    known = nodes.select("repo", F.col("path").alias("node"))
+    if modules is not None:
+        edges = edges.select("repo", "src", "edge_type", "dst").unionByName(parent_edges(nodes, modules).withColumn("edge_type", F.lit("parent")))
+        known = known.unionByName(modules.select("repo", F.col("module").alias("node")))
     own = [c for c in requested.columns if c != "node"]
     out = edges.where(F.col("edge_type").isin("imports", "parent", "testFile")).join(requested.withColumnRenamed("node", "src").distinct(), ["repo", "src"])
     near = out.select(*own, F.col("dst").alias("node")).withColumn("hop", F.lit(1))
     both = requested.select(*own, "node").withColumn("hop", F.lit(0)).unionByName(near)
-    known = nodes.select("repo", F.col("path").alias("node")).distinct()
-    return both.join(known, ["repo", "node"], "left_semi").groupBy(*own, "node").agg(F.min("hop").alias("hop"))
+    return both.join(known.distinct(), ["repo", "node"], "left_semi").groupBy(*own, "node").agg(F.min("hop").alias("hop"))
 
 
 def consumers(exported: DataFrame, calls: DataFrame) -> DataFrame:

@@ -169,6 +169,7 @@ def tests_for_impact(s, d):
 
 
 def context_bundle(s, d):
+    """Files only, as in its SQL; ``context_bundle_every`` has the modules too."""
     return graph.bundle(_seed(s, d), _edges(s, d), _files(s, d))
 
 
@@ -185,7 +186,7 @@ def tests_for_impact_every(s, d):
 
 
 def context_bundle_every(s, d):
-    return graph.bundle(_seeds(s, d), _edges(s, d), _files(s, d))
+    return graph.bundle(_seeds(s, d), _edges(s, d), _files(s, d), _modules(s, d))
 
 
 def _calls(s, d):

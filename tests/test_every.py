@@ -1,10 +1,12 @@
 """Path searches, impact and bundles over the prescribed set of requests, against brute force on small tables."""
 
+import os
 from collections import defaultdict
 from datetime import datetime, timezone
 
 import pytest
 
+from loregraph.api import Engine
 from loregraph.operators import search
 from loregraph.plans import catalog
 
@@ -109,3 +111,23 @@ def test_impact_and_bundles_of_every_seed(spark, folder):
     assert {tuple(r) for r in catalog.tests_for_impact_every(spark, folder).select("repo", "seed", "test").collect()} == tests
     files_only = {(r.repo, r.seed, r.node): r.hop for r in catalog.context_bundle_every(spark, folder).collect() if (r.repo, r.node) in known}
     assert files_only == near
+
+
+def test_bundles_hold_modules(spark, folder):
+    has = defaultdict(set)
+    for _, r, p in files():
+        has[r, p.rpartition("/")[0] or "."].add(p)
+    modules = {k for k, v in has.items() if len(v) >= 3 or any(p.endswith("/index.ts") or p == "index.ts" for p in v)}
+    want = {(r, p, p.rpartition("/")[0] or ".") for i, r, p in files() if i % 50 == 0 and (r, p.rpartition("/")[0] or ".") in modules}
+    assert len(want) > 5
+    got = catalog.context_bundle_every(spark, folder).collect()
+    assert {(r.repo, r.seed, r.node) for r in got if (r.repo, r.node) in modules and r.hop == 1} == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_context_has_module(spark):
+    """On the given tables: a file in a directory that is a module comes with it."""
+    d = "/root/testdata/sf0.001"
+    e = catalog.parent_edges(spark, d).orderBy("repo", "src").first()
+    rows = Engine(spark, d).context(e.repo, [e.src], form="rows")
+    assert {r["path"]: (r["hop"], r["type"]) for r in rows}[e.dst] == (1, "module")
