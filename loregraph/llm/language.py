@@ -308,7 +308,7 @@ def spoken(texts: DataFrame, keys: list[str], text: str = "text", source: bool =
         for pdf in batches:
             for a in range(0, len(pdf), 4000):
                 part = pdf.iloc[a : a + 4000]
-                own, which = np.unique(part["_text"].to_numpy(str), return_inverse=True) if len(part) else ([], [])
+                which, own = pd.factorize(part["_text"])  # an array of fixed-width strings would pad each text to the longest
                 found = detect(list(own), source)
                 row, lang, n = [], [], []
                 for i, k in enumerate(which):
