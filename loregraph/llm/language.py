@@ -30,7 +30,8 @@ CHANGE, CHANGE_CLAUSE = -14.0, -7.0
 IN_CODE = -4.0
 #: Words of a clause; characters of a phrase in a script without blanks.
 WORDS, SIGNS = 3, 4
-#: Characters that Viterbi takes at a time; longer texts are cut at line ends, with the state carried over.
+#: Characters of a text whose emissions are held at a time. Scores and the n-gram's context go on from one block to
+#: the next and the best path is traced back through all of them, so that where a text is cut makes no difference.
 BLOCK = 4096
 
 _HAN, _KATA, _DIGIT, _OTHER, _GAP = "漢", "ア", "0", "¤", " "
@@ -201,24 +202,23 @@ def paths(texts: list[str], source: bool = False) -> list[np.ndarray]:
     m = model()
     gap = m.codes[_GAP]
     out: list[np.ndarray] = [np.zeros(len(t), np.int8) for t in texts]
-    jobs = [(i, a, t[a : a + BLOCK]) for i, t in enumerate(texts) for a in range(0, len(t), BLOCK)]
-    jobs.sort(key=lambda j: len(j[2]))
+    jobs = sorted(((i, t) for i, t in enumerate(texts) if t), key=lambda j: len(j[1]))
     at = 0
     while at < len(jobs):
         end, cells = at, 0
-        while end < len(jobs) and (end == at or (end - at + 1) * (len(jobs[end][2]) + 1) <= 400_000) and len(jobs[end][2]) <= len(jobs[at][2]) * 1.3 + 16:
+        while end < len(jobs) and (end == at or (end - at + 1) * (len(jobs[end][1]) + 1) <= 400_000) and len(jobs[end][1]) <= len(jobs[at][1]) * 1.3 + 16:
             end += 1
         group = jobs[at:end]
         at = end
-        n, width = len(group), len(group[-1][2])
-        codes = np.full((n, width + ORDER), gap, np.int64)
+        n, width = len(group), len(group[-1][1])
+        codes = np.full((n, ORDER - 1 + width), gap, np.int64)  # each row after the gaps that a text starts from
         change = np.full((n, width), -1e4, np.float32)
         ban = np.zeros((n, width), np.float32)
         size = np.zeros(n, np.int64)
-        for r, (i, a, t) in enumerate(group):
+        for r, (_, t) in enumerate(group):
             p = plain(t)
             size[r] = len(t)
-            codes[r, : len(t)] = m.encode(p)
+            codes[r, ORDER - 1 : ORDER - 1 + len(t)] = m.encode(p)
             letter = np.fromiter((c.isalpha() or c in "'’" for c in p), bool, len(p))
             before = np.concatenate([[False], letter[:-1]])
             c = np.where(before & letter & ~np.isin(np.array(list(p)), [_HAN, _KATA]), -1e4, CHANGE)
@@ -226,24 +226,24 @@ def paths(texts: list[str], source: bool = False) -> list[np.ndarray]:
                 if x.end() < len(t):
                     c[x.end()] = max(c[x.end()], CHANGE_CLAUSE)
             change[r, : len(t)] = c
-            ok = _allowed(texts[i], source)[a : a + BLOCK]
+            ok = _allowed(t, source)
             ban[r, : len(t)] = np.where(ok == 0, -1e3, np.where(ok < 1, IN_CODE, 0))
-        emit = m.emissions(codes.ravel()).reshape(n, width + ORDER, -1)[:, :width]
-        emit[:, :, 1:] += ban[:, :, None]
-        score = emit[:, 0].copy()
         moved = np.zeros((n, width, len(STATES)), bool)
         best = np.zeros((n, width), np.int8)
-        for t in range(1, width):
-            top = score.argmax(1)
-            jump = score[np.arange(n), top][:, None] + change[:, t : t + 1]
-            go = jump > score
-            moved[:, t], best[:, t] = go, top
-            score = np.where(go, jump, score) + emit[:, t]
-            live = t < size
-            if not live.all():
-                done = ~live
-                score[done] -= emit[done, t]
-                moved[done, t] = False
+        for first in range(0, width, BLOCK):
+            last = min(first + BLOCK, width)
+            emit = m.emissions(codes[:, first : last + ORDER - 1].ravel()).reshape(n, last - first + ORDER - 1, -1)[:, ORDER - 1 :]
+            emit[:, :, 1:] += ban[:, first:last, None]
+            for t in range(first, last):
+                if t == 0:
+                    score = emit[:, 0].astype(np.float64)
+                    continue
+                top = score.argmax(1)
+                jump = score[np.arange(n), top][:, None] + change[:, t : t + 1]
+                live = t < size
+                go = (jump > score) & live[:, None]
+                moved[:, t], best[:, t] = go, top
+                score = np.where(live[:, None], np.where(go, jump, score) + emit[:, t - first], score)
         state = score.argmax(1)
         states = np.zeros((n, width), np.int8)
         rows = np.arange(n)
@@ -251,8 +251,8 @@ def paths(texts: list[str], source: bool = False) -> list[np.ndarray]:
             states[:, t] = state
             if t:
                 state = np.where(moved[rows, t, state], best[:, t], state)
-        for r, (i, a, t) in enumerate(group):
-            out[i][a : a + len(t)] = states[r, : len(t)]
+        for r, (i, t) in enumerate(group):
+            out[i][:] = states[r, : len(t)]
     return out
 
 

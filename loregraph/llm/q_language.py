@@ -28,7 +28,7 @@ def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 #: How a source listing opens: a comment, an import, an export or a declaration, after one line at most that names a file.
 OPENS = (
-    r"^[\s\uFEFF]*(?:[^\n]*[\w-]+\.[a-zA-Z]{1,4}[^\n]*\n\s*)?(?://|/\*|import\b[^\n]*(?:from\b|['\"(;])|export\s+(?:default|async|function|const|let|class|type|interface|enum|abstract|\{|\*)"
+    r"^[\s\uFEFF]*(?:[^\n]{0,200}[\w-]\.[a-zA-Z]{1,4}[^\n]{0,200}\n\s*)?(?://|/\*|import\b[^\n]*(?:from\b|['\"(;])|export\s+(?:default|async|function|const|let|class|type|interface|enum|abstract|\{|\*)"
     r"|(?:const|let|var)\s+[\w{\[][^\n=]*=|(?:async\s+)?function\b\s*\*?\s*\w+\s*\(|class\s+\w+[^\n]*\{)"
 )
 #: A fenced block; one that isn't closed reaches to the end.

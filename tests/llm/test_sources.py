@@ -1,6 +1,8 @@
 """Source text of documents: listings by label or by content, fenced blocks, and shares."""
 
-from loregraph.llm import q_language
+import numpy as np
+
+from loregraph.llm import language, q_language
 
 EN, DE = "// we have to wait until the cache is ready", "// das gilt auch für leere Listen"
 DOCS = [
@@ -36,3 +38,15 @@ def test_shares(spark, tmp_path):
         whole = sum(len(p.text) for p in pieces[r.doc_id])
         assert {p.chars for p in pieces[r.doc_id]} == {whole}
         assert r.share == round(r.letters / whole, 4) and 0 < r.share < 1
+
+
+def test_a_long_text_is_as_if_uncut(monkeypatch):
+    lines = [f"{(EN, DE)[i % 3 == 1]}, {'x' * (i % 7)} {i}\nconst a{i} = b(c);\n" for i in range(120)]
+    texts = ["".join(lines), "/* " + " ".join(x[3:] for x in (EN, DE)) * 40 + " */", EN, "".join(lines[:70])]
+    monkeypatch.setattr(language, "BLOCK", 1 << 30)
+    whole = language.paths(texts, source=True)
+    assert len({int(s) for s in whole[0]}) == 3
+    for block in (64, 1000, 4096):
+        monkeypatch.setattr(language, "BLOCK", block)
+        for a, b in zip(language.paths(texts, source=True), whole, strict=True):
+            assert np.array_equal(a, b)
