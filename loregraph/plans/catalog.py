@@ -91,6 +91,12 @@ def tokenize_docs(s, d):
     return table(s, d, "documents").select("doc_id", F.size(t).cast("long").alias("tokens"), F.array_join(F.slice(t, 1, 5), " ").alias("first_tokens"))
 
 
+def tokenize_docs_every(s, d):
+    """All tokens of each document; ``tokenize_docs`` shows the first five, as in its SQL."""
+    t = T.query_tokens(F.col("text"))
+    return table(s, d, "documents").select("doc_id", F.size(t).cast("long").alias("tokens"), F.array_join(t, " ").alias("all_tokens"))
+
+
 def summary_words_top(s, d):
     w = table(s, d, "documents").where("lower(lang) IN ('en', 'eng')").select(F.explode(T.summary_words(F.col("text"))).alias("word"))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(50)
@@ -288,6 +294,11 @@ def grep_union(s, d):
     return search.grep(_functions(s, d), GREP, "src/").groupBy("repo", "path", "kind").agg(F.count(F.lit(1)).alias("matches"))
 
 
+def grep_union_every(s, d):
+    """All paths; ``grep_union`` searches one scope, as in its SQL."""
+    return search.grep(_functions(s, d), GREP).groupBy("repo", "path", "kind").agg(F.count(F.lit(1)).alias("matches"))
+
+
 def http_status(s, d):
     return textops.error_statuses(_functions(s, d)).select("repo", "path", "func_name", "line", "status")
 
@@ -379,7 +390,7 @@ _NAMES = """keyword_index prefilter_topk candidate_lines tokenize_docs summary_w
 contains_edges parent_edges imports_resolved import_counts imported_by test_files impact_bfs impact_by_depth tests_for_impact context_bundle function_consumers cross_calls called_by importers
 reexport_chain suffix_join affected_functions entry_points overview_tree relationships config_files fuzzy_paths fuzzy_match similar_paths grep_union http_status errors_by_status inline_comments
 markers key_statement_lines comment_functions pattern_files content_hash changed_files upsert_merge stale_nodes claim_confidence token_cost target_counts deprecations manifest_dependencies part_index
-fuzzy_paths_every fuzzy_match_every similar_paths_every impact_bfs_every impact_by_depth_every tests_for_impact_every context_bundle_every""".split()
+fuzzy_paths_every fuzzy_match_every similar_paths_every impact_bfs_every impact_by_depth_every tests_for_impact_every context_bundle_every grep_union_every tokenize_docs_every""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 from loregraph.plans.oracle import ORACLES  # noqa: E402, F401
