@@ -67,7 +67,7 @@ _DECODED = re.compile(r"(?i)(?:Buffer\.from|atob|b64decode|base64\.decode)\s*\(\
 
 #: A text without any of this holds no candidate; evaluated by the JVM, so that other texts never reach Python.
 WORTH = (
-    r"(?i)pass|pwd|secret|token|key|cred|auth|jwt|bearer|basic|base64|atob|\bpin\b|login|sign_?in|bind_?as|connect|client|sig=|\s-u|\s-p|://[^\s/]*:[^\s/]*@"
+    r"(?i)pass|pwd|secret|token|key|cred|auth|jwt|bearer|basic|base64|atob|\bpin\b|login|sign_?in|bind_?as|connect|client|sig=|[?&][\w-]*(?:code|signature)=|\s-u|\s--user[= ]|\s-p|://[^\s/]*:[^\s/]*@"
     r"|[A-Za-z0-9+/_=-]{20,}"
 )
 
