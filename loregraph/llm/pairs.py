@@ -146,7 +146,8 @@ def functions_of(text: str) -> list[Function]:
 
 
 def _documentation(lines: list[str], above: dict[int, tuple[int, str]], first: int, head: int) -> str:
-    inner = "\n".join(lines[head + 1 : head + 60]).lstrip()
+    opens = next((i for i in range(head + 1, len(lines)) if lines[i].strip()), len(lines))
+    inner = "\n".join(lines[opens:]).lstrip() if opens < len(lines) and re.match(r"\s*[rRuU]?(?:\"\"\"|''')", lines[opens]) else ""
     if lines[first].lstrip().startswith(("def ", "async def")) and (m := re.match(r"[rRuU]?(\"\"\"|''')([\s\S]*?)\1", inner)):
         return m[2].strip()
     distance, i = 0, first - 1
