@@ -65,11 +65,41 @@ def test_pieces_and_encodings():
 
 def test_entropy_depends_on_length_and_alphabet():
     rng = random.Random(1)
-    for size, chars in ((16, "0123456789abcdef"), (62, string.ascii_letters + string.digits)):
-        for n in (12, 20, 32, 64):
-            got = [secrets.random_looking("".join(rng.choice(chars) for _ in range(n)), secrets.BARE_SHARE) for _ in range(200)]
-            assert sum(got) >= 195, (size, n, sum(got))
-    assert not secrets.random_looking("aaaaaaaabbbbbbbb", secrets.NAMED_SHARE)
+    for chars in (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"):
+        for n in (20, 32, 64, 300):
+            got = [secrets.random_bare("".join(rng.choice(chars) for _ in range(n))) for _ in range(200)]
+            assert sum(got) >= 190, (n, sum(got))
+    for size, chars in ((16, "0123456789abcdef"), (62, string.ascii_letters + string.digits)):  # the expected entropy is that of random strings
+        for n in (12, 40, 400):
+            seen = [secrets.entropy("".join(rng.choice(chars) for _ in range(n))) for _ in range(300)]
+            assert abs(sum(seen) / 300 - secrets.expected(n, size)[0]) < 0.03
+    assert not secrets.random_named("aaaaaaaabbbbbbbb") and not secrets.random_bare("exportFeatureInventoryTwice")
+
+
+WEAK = ["const options = { password: 'hunter2' };", "const options = { password: 'aaaaaa111111' };", "const u = 'postgres://svc:aaaa1111@db.example/x';", "const k = 'PublishSnapshotInvoice';", "run(exportFeatureInventory_andMore_of_it)"]
+
+
+@pytest.mark.parametrize("text", WEAK)
+def test_entropy_alone_tells_these(text, monkeypatch):
+    assert secrets.find(text) == []
+    monkeypatch.setattr(secrets, "random_named", lambda s: True)
+    monkeypatch.setattr(secrets, "random_bare", lambda s: True)
+    assert secrets.find(text)
+
+
+def test_bare_tokens_need_no_name():
+    for v in ("q8Zk31LmX0vRt5Yw2BnC7dEf", "7Hr6pnMEHeL2uhFoHWWxl0aQz+9/Kd3w"):
+        assert [t[0:2] for t in secrets.find(f"const lamp = '{v}';")] and secrets.find(f"cat {v} | go")
+    for v in ("exportFeatureInventoryOfLamps", "36f645f9c7fe491183badcd5328e564f68322202", "src/lamps/cellar/inventory.ts"):
+        assert not secrets.find(f"const lamp = '{v}';") and not secrets.find(f"cat {v} | go")
+
+
+def test_names_and_labels_far_to_the_left():
+    far = " " * 500
+    assert secrets.find(f"const apiKey ={far}'cedar-lamp-210';")
+    assert secrets.find("// the lamp key, which " + "still " * 60 + "works: 928fc1aa34083ff6596400b3305ffe38")
+    assert not secrets.find("const pub = `-----BEGIN PUBLIC KEY-----\n" + "1biIKEOWONRtLtjsUbjdga1pJhOTOXr9\n" * 40 + "-----END PUBLIC KEY-----`;")
+    assert not secrets.find("PORTAL_SHA='x'\nconst lock = { integrity: 'sha512-5etrilcLjj21cpzuUZwy0s5Sn2dUaGIPPukrOyCUKvIIpWwFSj9WTRVghpCDGoKgWEeJPmqnBBipjq0jD2pWyj==' };")
 
 
 @given(st.text(max_size=200))
