@@ -2,13 +2,16 @@
 
 ``functions_of`` reads a source text: regular expressions detect signatures, a stack of braces, of
 indentations or of end keywords delimits bodies, and the comment that ends nearest above a signature (or
-the string that opens a body) within ``MAX_DISTANCE`` lines is its documentation. ``informative`` tells
-documentation that says something beyond the function's name from the rest.
+the string that opens a body) within ``MAX_DISTANCE`` lines is its documentation. ``paired`` reads functions
+from code that was cut out of its file, and joins them, by the name in the signature, with documentation that
+was taken out of the file before. ``informative`` tells documentation that says something beyond the
+function's name from the rest.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,18 +34,22 @@ class Function(NamedTuple):
     end_line: int
 
 
+#: Heads of signatures, up to the bracket that opens the parameters (or the one parameter of an arrow function).
 _BRACE = re.compile(
     r"^[ \t]*(?P<sig>(?:(?:export|default|declare|public|private|protected|internal|static|final|abstract|override|virtual|async|unsafe|pub(?:\([a-z]+\))?|inline|const)\s+)*"
-    r"(?:function\b\s*\*?\s*(?P<a>[\w$]+)\s*(?:<[^>\n]*>)?\s*\((?:[^()]|\([^()]*\))*\)\s*(?::\s*[^={};\n]+)?|(?:fn|func)\s+(?:\([^)\n]*\)\s*)?(?P<b>\w+)\s*(?:<[^>\n]*>)?\s*\((?:[^()]|\([^()]*\))*\)[^{;\n]*"
-    r"|(?:let|var|const)?\s*(?P<c>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)\n]*\)|[\w$]+)\s*(?::\s*[^=\n{]+)?=>\s*"
-    r"|(?:[\w<>\[\],.?]+\s+)?(?P<d>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|else\b|new\b|function\b|await\b)[\w$]+)\s*\([^;{}]*\)\s*(?::\s*[^={};\n]+|throws\s+[\w., ]+|const)?\s*))(?=\{|=>)",
+    r"(?:function\b\s*\*?\s*(?P<a>[\w$]+)\s*(?:<[^>\n]*>)?\s*(?=\()|(?:fn|func)\s+(?:\([^)\n]*\)\s*)?(?P<b>\w+)\s*(?:<[^>\n]*>)?\s*(?=\()"
+    r"|(?:let|var|const)?\s*(?P<c>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:(?=\()|[\w$]+(?=\s*=>))"
+    r"|(?:[\w<>\[\],.?]+\s+)?(?P<d>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|else\b|new\b|function\b|await\b)[\w$]+)\s*(?=\()))",
     re.M,
 )
-_INDENT = re.compile(r"^(?P<pad>[ \t]*)(?P<sig>(?:async\s+)?def\s+(?P<a>\w+)\s*\((?:[^()]|\([^()]*\))*\)\s*(?:->\s*[^:\n]+)?):", re.M)
+#: What lies between the closing bracket and the body, for each kind of head.
+_TAIL = {"a": re.compile(r"\s*(?::\s*[^={};\n]+)?(?=\{)"), "b": re.compile(r"[^{;\n]*(?=\{)"), "c": re.compile(r"\s*(?::\s*[^=\n{]+)?=>\s*"), "d": re.compile(r"\s*(?::\s*[^={};\n]+|throws\s+[\w., ]+|const)?\s*(?=\{)")}
+_INDENT = re.compile(r"^(?P<pad>[ \t]*)(?P<sig>(?:async\s+)?def\s+(?P<a>\w+)\s*(?=\())", re.M)
+_COLON = re.compile(r"\s*(?:->\s*[^:\n]+)?:")
 _END = re.compile(r"^[ \t]*(?P<sig>(?:local\s+)?(?:def|function)\s+(?:self\.)?(?P<a>[\w.:?!]+)[ \t]*(?:\([^)\n]*\))?)[ \t]*$", re.M)
 _OPENS = re.compile(r"^\s*(?:if|unless|while|until|for|case|begin|def|class|module|function|local function|repeat)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$|=\s*(?:if|case|begin|function)\b|\bfunction\s*\([^)]*\)\s*$")
 _DECORATOR = re.compile(r"^\s*(?:@\w|#\[|\[\w)")
-_SKIP = re.compile(r"""'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*[\s\S]*?\*/|[{}]""")
+_SKIP = re.compile(r"""^[ \t]*(?:```|~~~)[^\n]*|\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*[\s\S]*?\*/|[(){}]""", re.M)
 
 
 def comments(lines: list[str]) -> dict[int, tuple[int, str]]:
@@ -73,17 +80,24 @@ def comments(lines: list[str]) -> dict[int, tuple[int, str]]:
     return out
 
 
-def _braces(text: str, start: int) -> int:
-    """End of the block whose first ``{`` is at or after ``start``; a text cut short ends it."""
-    depth = 0
-    for m in _SKIP.finditer(text, start):
-        if m[0] == "{":
-            depth += 1
-        elif m[0] == "}":
-            depth -= 1
-            if depth <= 0:
-                return m.end()
-    return len(text)
+def brackets(text: str) -> dict[int, int]:
+    """Place of each opening bracket -> place of its closing one, by a stack, outside strings and comments, in one pass.
+
+    Brackets that nothing closes have no entry; those that are still open inside one that closes are dropped.
+    """
+    out: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []
+    for m in _SKIP.finditer(text):
+        c = m[0]
+        if c in ("(", "{"):
+            open_.append((c, m.start()))
+        elif c in (")", "}"):
+            want = "(" if c == ")" else "{"
+            while open_ and open_[-1][0] != want and want == "{":
+                open_.pop()
+            if open_ and open_[-1][0] == want:
+                out[open_.pop()[1]] = m.start()
+    return out
 
 
 def _indented(lines: list[str], first: int, pad: int) -> int:
@@ -119,26 +133,31 @@ def functions_of(text: str) -> list[Function]:
     inside = {i for end, (first, _) in above.items() for i in range(first, end + 1)}
 
     def line_of(pos: int) -> int:
-        lo, hi = 0, len(lines) - 1
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if at[mid] <= pos else (lo, mid - 1)
-        return lo
+        return min(bisect_right(at, pos) - 1, len(lines) - 1)
 
+    pairs = brackets(text)
     found: dict[int, tuple[str, str, int, int]] = {}
     for m in _INDENT.finditer(text):
-        first = line_of(m.start("sig"))
-        last = _indented(lines, line_of(m.end() - 1), len(m["pad"]))
-        found[first] = (m["a"], m["sig"], line_of(m.end() - 1), last)
+        close = pairs.get(m.end())
+        tail = _COLON.match(text, close + 1) if close is not None else None
+        if tail:
+            first, head = line_of(m.start("sig")), line_of(tail.end() - 1)
+            found[first] = (m["a"], text[m.start("sig") : tail.end() - 1], head, _indented(lines, head, len(m["pad"])))
     for m in _END.finditer(text):
         first = line_of(m.start("sig"))
         if first not in found:
             found[first] = (m["a"], m["sig"], first, _ended(lines, first))
     for m in _BRACE.finditer(text):
         first = line_of(m.start("sig"))
-        if first not in found and first not in inside:
-            name = m["a"] or m["b"] or m["c"] or m["d"]
-            found[first] = (name, m["sig"], first, line_of(max(_braces(text, m.end()) - 1, m.end() - 1)))
+        kind = next(k for k in "abcd" if m[k])
+        if first in found or first in inside:
+            continue
+        after = m.end() if kind == "c" and text[m.end() : m.end() + 1] != "(" else pairs.get(m.end(), -2) + 1
+        tail = _TAIL[kind].match(text, after) if after >= 0 else None
+        if tail:
+            body = tail.end()
+            stop = pairs.get(body, len(text) - 1) if text[body : body + 1] == "{" else at[line_of(body) + 1] - 2  # an expression ends with its line
+            found[first] = (m[kind], text[m.start("sig") : body], line_of(max(after - 1, m.start("sig"))), line_of(max(stop, body - 1)))
     out = []
     for first, (name, sig, head, last) in sorted(found.items()):
         out.append(Function(name, re.sub(r"\s+", " ", sig).strip(), "\n".join(lines[first : last + 1]), _documentation(lines, above, first, head), first, last))
@@ -208,47 +227,64 @@ def informative(description: str | None, name: str) -> bool:
     return False
 
 
-def documented(functions: DataFrame, files: DataFrame) -> DataFrame:
-    """(func_id, func_name, code_snippet, description, seen) of each function with an entry under its name.
+#: Columns that ``parsed`` gives besides the keys: the signature, the code up to the body's end, and the comment beside it.
+PARSED = ("signature", "code", "comment")
+
 
-    Equal on repo, path and name. Only entries with letters and functions with code are matched; ``seen``
-    orders the versions of a function and of its entry. The map is exploded before the join, so the key is
-    the function, which no hot file can make hot.
+def parsed(functions: DataFrame, *columns: str) -> DataFrame:
+    """(func_id, repo, path, name, extracted_at, *columns) of the function in each row's code: a narrow map.
+
+    The name is the one read from the signature: that of the row's own function, or of the first one where the row
+    names none. Rows with null or blank code, and those in whose code no such signature is found, give nothing. ``columns`` are some of PARSED.
     """
-    entries = files.where(F.col("jsdoc").isNotNull()).select("repo", "path", F.col("extracted_at").alias("_file_at"), F.explode("jsdoc").alias("func_name", "_doc"))
-    entries = entries.select("repo", "path", "func_name", "_file_at", F.col("_doc.description").alias("description")).where(F.col("description").rlike(r"\p{L}{2,}"))
-    code = functions.where(F.length(F.trim("code_snippet")) > 0).select("func_id", "repo", "path", "func_name", "code_snippet", "extracted_at")
-    seen = F.struct(F.col("extracted_at"), F.col("_file_at"))
-    return code.join(entries, ["repo", "path", "func_name"]).select("func_id", "func_name", "code_snippet", "description", seen.alias("seen"))
+    own = functions.where(F.length(F.trim("code_snippet")) > 0).select("func_id", "repo", "path", "func_name", "code_snippet", "extracted_at")
+    kind = {c: own.schema[c].dataType.simpleString() for c in own.columns}
+    schema = f"func_id {kind['func_id']}, repo string, path string, name string, extracted_at {kind['extracted_at']}" + "".join(f", {c} string" for c in columns)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for name, code in zip(pdf["func_name"], pdf["code_snippet"], strict=True):
+                every = functions_of(code)
+                got.append(next((x for x in every if name is None or x.name == name), None))
+            out = pdf[["func_id", "repo", "path", "extracted_at"]].assign(name=[f.name if f else None for f in got])
+            field = {"signature": "signature", "code": "body", "comment": "description"}
+            for c in columns:
+                out[c] = [getattr(f, field[c]) if f else None for f in got]
+            yield out[out["name"].notna()][["func_id", "repo", "path", "name", "extracted_at", *columns]]
 
-def as_source(description: str, code: str) -> str:
-    """A source text in which the documentation stands above the function."""
-    inner = description.replace("*/", "* /").replace("\r", "")
-    return "/**\n" + "\n".join(" * " + x for x in inner.split("\n")) + "\n */\n" + code
+    return own.mapInPandas(run, schema)
 
 
-def extract(rows: DataFrame) -> DataFrame:
-    """(func_id, seen, signature, code, description, kept) from the rows of ``documented``: a narrow map.
+def entries(files: DataFrame, *columns: str) -> DataFrame:
+    """(repo, path, name, file_at, kept, *columns) of each documentation entry with letters in its description: a narrow map.
 
-    Each function's source is parsed anew; the pair is the function found under the row's name (or the
-    first one, where the code holds no such name) and the comment attached to it. Rows in whose code no
-    signature is found give no pair. ``kept`` says whether the description is informative.
+    ``kept`` says whether the description is informative for its name. ``columns`` may be ("description",).
     """
-    kind = rows.schema["seen"].dataType.simpleString()
-    schema = f"func_id long, seen {kind}, signature string, code string, description string, kept boolean"
+    own = files.where(F.col("jsdoc").isNotNull()).select("repo", "path", F.col("extracted_at").alias("file_at"), F.explode("jsdoc").alias("name", "_doc"))
+    own = own.select("repo", "path", "name", "file_at", F.col("_doc.description").alias("description")).where(F.col("description").rlike(r"\p{L}{2,}"))
+    at = own.schema["file_at"].dataType.simpleString()
+    schema = f"repo string, path string, name string, file_at {at}, kept boolean" + "".join(f", {c} string" for c in columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = []
-            for fid, name, code, text, seen in zip(pdf["func_id"], pdf["func_name"], pdf["code_snippet"], pdf["description"], pdf["seen"], strict=True):
-                every = functions_of(as_source(text, code))
-                f = next((x for x in every if x.name == name), every[0] if every else None)
-                if f is not None:
-                    got.append((fid, seen, f.signature, f.body, f.description, informative(f.description, name or f.name)))
-            yield pd.DataFrame(got, columns=["func_id", "seen", "signature", "code", "description", "kept"])
-
-    return rows.mapInPandas(run, schema)
+            kept = [informative(t, n or "") for t, n in zip(pdf["description"], pdf["name"], strict=True)]
+            yield pdf.assign(kept=kept)[["repo", "path", "name", "file_at", "kept", *columns]]
+
+    return own.mapInPandas(run, schema)
+
+
+def paired(functions: DataFrame, files: DataFrame, *columns: str) -> DataFrame:
+    """(func_id, seen, kept, *columns) of each function in whose code a signature is found and its documentation entry.
+
+    Equal on repo, path and the name in the signature, so the key is a function, which no hot file can make
+    hot. ``seen`` orders the versions of a function and of its entry; ``columns`` are some of PARSED and
+    "description".
+    """
+    code = parsed(functions, *[c for c in columns if c in PARSED])
+    docs = entries(files, *[c for c in columns if c not in PARSED])
+    seen = F.struct(F.col("extracted_at"), F.col("file_at"))
+    return code.join(docs, ["repo", "path", "name"]).select("func_id", seen.alias("seen"), "kept", *columns)
 
 
 def newest(pairs: DataFrame, *columns: str) -> DataFrame:

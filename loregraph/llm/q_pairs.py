@@ -12,18 +12,18 @@ from loregraph.llm import pairs
 from loregraph.sources.tables import table
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs.extract(pairs.documented(table(spark, folder, "function_data"), table(spark, folder, "file_nodes")))
+def _pairs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return pairs.newest(pairs.paired(table(spark, folder, "function_data"), table(spark, folder, "file_nodes"), *columns), "kept", *columns)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """(func_id) of the functions with code whose description tells something beyond the name."""
-    return pairs.newest(_pairs(spark, folder), "kept").where("kept").select("func_id")
+    return _pairs(spark, folder).where("kept").select("func_id")
 
 
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """(func_id, signature, code, description) worth keeping."""
-    return pairs.newest(_pairs(spark, folder), "signature", "code", "description", "kept").where("kept").drop("kept")
+    """(func_id, signature, code, comment, description) worth keeping; comment is what stands beside the signature in the code itself."""
+    return _pairs(spark, folder, "signature", "code", "comment", "description").where("kept").drop("kept")
 
 
 def p4_listings(spark: SparkSession, folder: str) -> DataFrame:

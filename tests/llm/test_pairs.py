@@ -96,7 +96,27 @@ def test_tables(spark):
     functions = spark.createDataFrame(f, "func_id long, repo string, path string, func_name string, code_snippet string, extracted_at string, jsdoc string")
     docs = "map<string, struct<description: string, return_doc: string>>"
     files = spark.createDataFrame([("r", "p", "2024-01-01", {"loadLamp": ("Throws when */ the cellar is dark.", None), "other": ("Long enough to count here.", None), "gone": (None, None)}, 7), ("r", "p", "2024-01-02", None, 7)], f"repo string, path string, extracted_at string, jsdoc {docs}, func_id int")
-    pairs_ = pairs.extract(pairs.documented(functions, files))
-    got = pairs.newest(pairs_, "kept", "description").collect()
-    assert [(r.func_id, r.kept, r.description) for r in got] == [(1, True, "Throws when * / the cellar is dark.")]
-    assert pairs.extract(pairs.documented(functions.limit(0), files)).count() == 0
+    got = pairs.newest(pairs.paired(functions, files, "signature", "description"), "kept", "description", "signature").collect()
+    assert [(r.func_id, r.kept, r.description, r.signature) for r in got] == [(1, True, "Throws when */ the cellar is dark.", "function loadLamp(a: string): void")]
+    assert pairs.paired(functions.limit(0), files).count() == 0 and pairs.paired(functions, files.limit(0)).count() == 0
+
+
+def test_pairs_come_through_the_parser(spark, monkeypatch):
+    """Code without a signature gives no pair; the name is the signature's, and a comment beside it comes out with it."""
+    code = "/** Keeps the door shut. */\nexport const openDoor = async (key: string) => {\n  return 1;\n};"
+    f = [(1, "r", "p", "openDoor", code, "2024-01-01"), (2, "r", "p", "openDoor", "return key + 1;", "2024-01-01"), (3, "r", "p", None, code, "2024-01-01")]
+    functions = spark.createDataFrame(f, "func_id long, repo string, path string, func_name string, code_snippet string, extracted_at string")
+    files = spark.createDataFrame([("r", "p", "2024-01-01", {"openDoor": ("Null when the cellar is cold.",)})], "repo string, path string, extracted_at string, jsdoc map<string, struct<description: string>>")
+    rows = pairs.paired(functions, files, "comment", "signature").collect()
+    assert sorted((r.func_id, r.comment) for r in rows) == [(1, "Keeps the door shut."), (3, "Keeps the door shut.")]
+
+
+def test_brackets_and_long_texts():
+    import time
+
+    assert pairs.functions_of("function f(a = g(h(1, (2))), b) {\n}")[0].signature == "function f(a = g(h(1, (2))), b)"
+    assert pairs.functions_of("const f = x => x + 1;\nfunction g() {\n}")[0].body == "const f = x => x + 1;"
+    began = time.time()
+    assert pairs.functions_of("call(a, [\n" * 20000) == []
+    assert len(pairs.functions_of("function f(a) {\n  g('{');\n}\n" * 5000)) == 5000
+    assert time.time() - began < 20
