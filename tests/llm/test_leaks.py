@@ -23,7 +23,7 @@ def test_matches_against_brute_force():
     docs = [np.array([rng.randrange(1, 6) for _ in range(rng.randrange(0, 60))], np.int64) for _ in range(12)]
     texts = [np.array([rng.randrange(1, 7) for _ in range(25)], np.int64) for _ in range(3)]
     items = leaks.Items([1, 2, 3], texts)
-    starts = set((items.starts - items.first[items.item[items.starts]]).tolist()) and {(int(items.item[s]), int(s - items.first[items.item[s]])) for s in items.starts}
+    common = leaks.common_wording(texts)
     want = set()
     for d, doc in enumerate(docs):
         for k, t in enumerate(texts):
@@ -32,11 +32,43 @@ def test_matches_against_brute_force():
                     n = 0
                     while p + n < len(t) and q + n < len(doc) and t[p + n] == doc[q + n]:
                         n += 1
-                    goes_left = p > 0 and q > 0 and t[p - 1] == doc[q - 1] and (k, p - 1) in starts
-                    if n >= leaks.SEED and (k, p) in starts and not goes_left:
+                    goes_left = p > 0 and q > 0 and t[p - 1] == doc[q - 1]
+                    if not goes_left and n >= leaks.SEED and not common[k][p : p + n - leaks.SEED + 1].all():
                         want.add((d, k, p, q, n))
+    got = list(zip(*(x.tolist() for x in leaks.matches(docs, items)), strict=True))
+    assert set(got) == want and want and len(got) == len(want)
+
+
+def test_matches_with_common_wording_and_short_items(monkeypatch):
+    rng = random.Random(9)
+    shared = [rng.randrange(1, 50) for _ in range(7)]
+    texts = [np.array([*(rng.randrange(1, 50) for _ in range(9)), *shared, *(rng.randrange(1, 50) for _ in range(5))], np.int64) for _ in range(4)]
+    texts += [np.array([7, 8], np.int64), np.array(shared, np.int64), np.array(shared, np.int64)]
+    items = leaks.Items(list(range(7)), texts)
+    docs = [texts[0][3:], np.array(shared, np.int64), texts[1][:12], np.array([1, 7, 8, 2], np.int64)] * 3
     got = set(zip(*(x.tolist() for x in leaks.matches(docs, items)), strict=True))
-    assert got == want and want
+    assert (0, 0, 3, 0, 18) in got and (2, 1, 0, 0, 12) in got and (3, 4, 0, 1, 2) in got
+    assert (1, 5, 0, 0, 7) in got and not any(d == 1 and k < 4 for d, k, *_ in got)  # common wording counts only as a whole item
+    assert items.counts[0][-1] == 14 + 6  # of the shared seven words, three on either side stand in wording of its own
+    monkeypatch.setattr(leaks, "CHUNK", 2)
+    assert set(zip(*(x.tolist() for x in leaks.matches(docs, items)), strict=True)) == got
+
+
+def test_common_wording_over_all_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i} one two three four five") for i in range(4)] + [(9, "")], "item_id long, text string")
+    rows = {r.item_id: sorted(r.common) for r in leaks.read_items(items).collect()}
+    assert rows == {0: [4, 5], 1: [4, 5], 2: [4, 5], 3: [4, 5], 9: []}
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 10)
+    assert [len(b.ids) for b in leaks._blocks(leaks.read_items(items))] == [1, 1, 1, 2]
+    docs = spark.createDataFrame([(1, "x alpha2 beta2 gamma2 delta2 one y"), (2, "one two three four five")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in leaks.leaked(docs, items).collect()] == [(1, 2)]
+
+
+def test_a_long_tag_is_markup(spark):
+    tagged = ITEM.replace(" lamp ", " lamp <a href='" + "x/" * 100 + "'>", 1)
+    df = spark.createDataFrame([(1, " ".join(tagged.split()[:22]))], "doc_id long, text string")
+    got = leaks.leaked(df, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()
+    assert [r.matched for r in got] == [got[0].spanned]
 
 
 def _words(text):
