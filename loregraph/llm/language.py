@@ -69,6 +69,27 @@ def plain(text: str) -> str:
     return "".join(out)
 
 
+class Characters:
+    """What is known of a character, by its number: the model's code, whether it is a letter or an apostrophe, whether words may part beside it.
+
+    A table over all characters, filled as they turn up.
+    """
+
+    def __init__(self, codes: dict[str, int]) -> None:
+        self.codes = codes
+        self.code = np.full(0x110000, -1, np.int16)
+        self.letter = np.zeros(0x110000, bool)
+        self.sign = np.zeros(0x110000, bool)
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, letters, signs of a script without blanks) of a text's characters."""
+        at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        for x in np.unique(at[self.code[at] < 0]):
+            c = plain(chr(x))
+            self.code[x], self.letter[x], self.sign[x] = self.codes.get(c, 0), c.isalpha() or c in "'’", c in (_HAN, _KATA)
+        return self.code[at], self.letter[at], self.sign[at]
+
+
 def bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.translate(str.maketrans("łŁøØ", "lLoO"))) if not unicodedata.combining(c))
 
@@ -90,6 +111,7 @@ class Model:
                         counts[k][t[i - n + 1 : i + 1]] += 1
         chars = sorted({g for c in counts for g in c if len(g) == 1})
         self.codes = {c: i + 1 for i, c in enumerate(chars)}
+        self.characters = Characters(self.codes)
         size, n_states = len(chars) + 1, len(STATES)
         self.base = size + 1
         logs: list[dict[str, np.ndarray]] = [{} for _ in range(ORDER + 1)]
@@ -185,20 +207,35 @@ def spans_of_source(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _allowed(text: str, source: bool) -> np.ndarray:
-    """Per character: 0 where only code may be, 1 where language may be, less than that in tokens that look like code."""
-    ok = np.ones(len(text), np.float32)
-    if source or _STATEMENT.match(_MARKER.sub("", text)) or re.search(r"^\s*[\w.]+\((?:\"|`|')", _MARKER.sub("", text)):
-        ok[:] = 0
+_OPEN, _CODE = 1, 2
+
+
+def _allowed(text: str, source: bool, tokens: list[tuple[int, int]]) -> np.ndarray:
+    """Per character: 0 where only code may be, _OPEN where language may be, _CODE in ``tokens`` that look like code there."""
+    line = _MARKER.sub("", text)
+    if source or _STATEMENT.match(line) or re.match(r"\s*[\w.]+\((?:\"|`|')", line):
+        ok = np.zeros(len(text), np.int8)
         for a, b in spans_of_source(text) if source else [m.span() for m in _LITERAL.finditer(text)]:
-            ok[a:b] = 1
-    for m in _CODE_TOKEN.finditer(text):
-        ok[m.start() : m.end()] = np.minimum(ok[m.start() : m.end()], 0.5)
+            ok[a:b] = _OPEN
+    else:
+        ok = np.full(len(text), _OPEN, np.int8)
+    for a, b in tokens:
+        ok[a:b] *= _CODE
     return ok
 
 
-def paths(texts: list[str], source: bool = False) -> list[np.ndarray]:
+def code_tokens(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _CODE_TOKEN.finditer(text)]
+
+
+#: Scores of _allowed's values.
+_BAN = np.array([-1e3, 0, IN_CODE], np.float32)
+_ENDS = re.compile(r"[.!?;:/。！？]\s*(?=\S)|--\s+|[\"`']")
+
+
+def paths(texts: list[str], source: bool = False, tokens: list[list[tuple[int, int]]] | None = None) -> list[np.ndarray]:
     """The state of each character of each text, by Viterbi over all texts at once, grouped by length."""
+    tokens = [code_tokens(t) for t in texts] if tokens is None else tokens
     m = model()
     gap = m.codes[_GAP]
     out: list[np.ndarray] = [np.zeros(len(t), np.int8) for t in texts]
@@ -215,19 +252,16 @@ def paths(texts: list[str], source: bool = False) -> list[np.ndarray]:
         change = np.full((n, width), -1e4, np.float32)
         ban = np.zeros((n, width), np.float32)
         size = np.zeros(n, np.int64)
-        for r, (_, t) in enumerate(group):
-            p = plain(t)
+        for r, (i, t) in enumerate(group):
             size[r] = len(t)
-            codes[r, ORDER - 1 : ORDER - 1 + len(t)] = m.encode(p)
-            letter = np.fromiter((c.isalpha() or c in "'’" for c in p), bool, len(p))
-            before = np.concatenate([[False], letter[:-1]])
-            c = np.where(before & letter & ~np.isin(np.array(list(p)), [_HAN, _KATA]), -1e4, CHANGE)
-            for x in re.finditer(r"[.!?;:/。！？]\s*(?=\S)|--\s+|[\"`']", t):
-                if x.end() < len(t):
-                    c[x.end()] = max(c[x.end()], CHANGE_CLAUSE)
+            own, letter, sign = m.characters.read(t)
+            codes[r, ORDER - 1 : ORDER - 1 + len(t)] = own
+            c = np.full(len(t), CHANGE, np.float32)
+            c[1:][letter[:-1] & letter[1:] & ~sign[1:]] = -1e4
+            ends = [x.end() for x in _ENDS.finditer(t) if x.end() < len(t)]
+            c[ends] = np.maximum(c[ends], CHANGE_CLAUSE)
             change[r, : len(t)] = c
-            ok = _allowed(t, source)
-            ban[r, : len(t)] = np.where(ok == 0, -1e3, np.where(ok < 1, IN_CODE, 0))
+            ban[r, : len(t)] = _BAN[_allowed(t, source, tokens[i])]
         moved = np.zeros((n, width, len(STATES)), bool)
         best = np.zeros((n, width), np.int8)
         for first in range(0, width, BLOCK):
@@ -256,33 +290,38 @@ def paths(texts: list[str], source: bool = False) -> list[np.ndarray]:
     return out
 
 
-def clauses(text: str, path: np.ndarray) -> dict[str, int]:
+def clauses(text: str, path: np.ndarray, tokens: list[tuple[int, int]] | None = None) -> dict[str, int]:
     """Language -> characters of its clauses in a text, given its path.
 
     Tokens that look like code may stand inside a clause. A clause has WORDS words, or SIGNS characters of
     a script without blanks.
     """
     out: dict[str, int] = {}
-    code = np.zeros(len(text), bool)
-    for m in _CODE_TOKEN.finditer(text):
-        code[m.start() : m.end()] = True
+    if not path.any():
+        return out
+    at, parts = 0, []
+    for a, b in code_tokens(text) if tokens is None else tokens:
+        parts += [text[at:a], " " * (b - a)]
+        at = b
+    own = "".join([*parts, text[at:]])  # without code
+    cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
     runs: list[list[int]] = []
-    for i, s in enumerate(path):
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        s = int(path[a])
         if s == 0:
             continue
-        if runs and runs[-1][0] == s and (runs[-1][2] == i or not re.search(r"\w", "".join(c for c, k in zip(text[runs[-1][2] : i], code[runs[-1][2] : i], strict=True) if not k))):
-            runs[-1][2] = i + 1
+        if runs and runs[-1][0] == s and not re.search(r"\w", own[runs[-1][2] : a]):
+            runs[-1][2] = b
         else:
-            runs.append([int(s), i, i + 1])
+            runs.append([s, a, b])
     for s, a, b in runs:
-        lang = STATES[s]
-        own = "".join(" " if code[i] else text[i] for i in range(a, b))
+        lang, said = STATES[s], own[a:b]
         if lang in ("zh", "ja"):  # one script in common: kana tell
-            lang = "ja" if re.search(r"[\u3040-\u30ff]", own) else "zh"
-            n = len(re.findall(r"[぀-ヿ一-鿿々]", own))
+            lang = "ja" if re.search(r"[\u3040-\u30ff]", said) else "zh"
+            n = len(re.findall(r"[぀-ヿ一-鿿々]", said))
             enough = n >= SIGNS
         else:
-            words = _WORD.findall(own)
+            words = _WORD.findall(said)
             n = sum(map(len, words))
             enough = len(words) >= WORDS
         if enough:
@@ -293,7 +332,8 @@ def clauses(text: str, path: np.ndarray) -> dict[str, int]:
 def detect(texts: list[str], source: bool = False) -> list[dict[str, int]]:
     """Language -> letters in clauses, for each text. Empty texts and those without a clause give {}."""
     fixed = [repair(t or "") for t in texts]
-    return [clauses(t, p) if len(t) else {} for t, p in zip(fixed, paths(fixed, source), strict=True)]
+    tokens = [code_tokens(t) for t in fixed]
+    return [clauses(t, p, k) if len(t) else {} for t, p, k in zip(fixed, paths(fixed, source, tokens), tokens, strict=True)]
 
 
 def spoken(texts: DataFrame, keys: list[str], text: str = "text", source: bool = False) -> DataFrame:

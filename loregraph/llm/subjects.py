@@ -1,9 +1,10 @@
 """Subject areas of documents.
 
-One interpolated word n-gram model per subject, trained on documents with labels, against a background
-model counted over all documents. A sentence is about the subject whose per-token cross-entropy is lowest,
-if it lies below the background's by a calibrated margin; a document has every subject that a sixth of its
-sentences are about.
+One interpolated word n-gram model per subject, trained on documents with labels, against two background
+models: one counted over all documents, and one of the labelled documents' sentences about no subject. A
+sentence is about the subject whose per-token cross-entropy is lowest, if it lies below that of the better
+background by a margin, calibrated for each subject on documents that weren't fitted to; a document has every
+subject that a sixth of its sentences are about.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from loregraph.session import cut
 #: Labelled documents that the subject models are fitted to, at most; the choice is by a hash of the id.
 TRAIN_DOCS = 4000
 #: Share of a document's sentences that a subject takes.
-SHARE = 0.155
+SHARE = 1 / 6
 #: Weights of a subject's own bigram and unigram estimates; the rest is the background's.
 OWN2, OWN1 = 0.40, 0.45
 #: Occurrences of a word at which half of the bigram's weight goes to what followed it.
@@ -35,14 +37,20 @@ ROUNDS = 4
 LABELLED = 0.10
 #: Margin, per token, beyond which a labelled document's sentence is assigned to a subject in fitting.
 ASSIGN = 0.2
-#: Margins among which calibration chooses.
+#: Margins among which calibration chooses, and labelled documents that a subject must have for one of its own.
 MARGINS = np.round(np.arange(0.0, 0.95, 0.05), 2)
+OWN_MARGIN = 60
+#: Words of test items that are broadcast at most, to tell their passages.
+TEST_WORDS = 4_000_000
 
 _FENCE = re.compile(r"```[\s\S]*?(?:```|\Z)")
 _CODE_LINE = re.compile(r"^\s*(?:(?:export|import|const|let|var|return|throw|for|while|if|else|switch|case|function|async|class|interface|type|await|void)\b.*[{};()=]|[\w.\[\]$]+\s*(?:\(|=|\.).*[;{(]\s*$|[{}()\[\];,]+\s*$|@\w|[\w./-]+\.(?:ts|js|tsx|jsx|json|md)\s*$)")
 _INLINE = re.compile(r"`[^`\n]*`|<[^>\n]{1,60}>|https?://\S+|(?:[\w.-]+/)+[\w.-]+|\b[a-z]+[A-Z]\w*(?:\(\))?|\b[A-Z][a-z]+[A-Z]\w*|\b\w+\(\)|\b\w*\d\w*\b")
 _BREAK = re.compile(r"(?<=[.!?;:])\s+(?=[^\sa-zß-öø-ÿ])|\n\s*(?:\n|[-*+>#]|\d+[.)]|/\*+|//|\*)\s*|(?<=[.!?])\s+")
 _SHORT_NOTE = re.compile(r"^\s*(?://|#)\s*\S+(?:\s+\S+){0,4}\s*$")
+_PREFIX = re.compile(r"^\s*(?:[-*+>#]+|//+|/\*+)\s*")
+#: What every match of _INLINE holds: sentences without it needn't be searched.
+_MAY = re.compile(r"[`</\d]|[a-z][A-Z]|\(\)")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 #: Words a sentence has at least.
 LEAST = 3
@@ -50,10 +58,10 @@ LEAST = 3
 
 def sentences(text: str) -> list[list[str]]:
     """The prose sentences of a document as lower-case words: no code, identifiers, paths or headings of one or two words."""
-    prose = "\n".join(x for x in _FENCE.sub("\n\n", text).split("\n") if not _SHORT_NOTE.match(x) and not _CODE_LINE.match(re.sub(r"^\s*(?:[-*+>#]+|//+|/\*+)\s*", "", x)))
+    prose = "\n".join(x for x in _FENCE.sub("\n\n", text).split("\n") if not x or not _SHORT_NOTE.match(x) and not _CODE_LINE.match(_PREFIX.sub("", x)))
     out = []
     for s in _BREAK.split(prose):
-        w = _WORD.findall(_INLINE.sub(" _ ", s).lower())
+        w = _WORD.findall((_INLINE.sub(" _ ", s) if _MAY.search(s) else s).lower())
         if len(w) >= LEAST:
             out.append(w)
     return out
@@ -67,7 +75,7 @@ def passage_words(texts: Iterable[str]) -> set[tuple[str, ...]]:
 def is_passage(s: list[str], triples: set[tuple[str, ...]]) -> bool:
     """Whether a sentence is mostly made of a test item's wording."""
     n = len(s) - 2
-    return n > 0 and sum(tuple(s[i : i + 3]) in triples for i in range(n)) >= max(2, 0.4 * n)
+    return n > 0 and sum(map(triples.__contains__, zip(s, s[1:], s[2:], strict=False))) >= max(2, 0.4 * n)
 
 
 class Models:
@@ -85,7 +93,7 @@ class Models:
                 self.head[i] = vocabulary[g[:1]]
         self.table: np.ndarray | None = None
         self.base: np.ndarray | None = None
-        self.margin = 0.3
+        self.margin = np.full(len(subjects), 0.3)
 
     def fit(self) -> None:
         """Log-ratio tables: per n-gram, each subject's interpolated probability over the background's."""
@@ -116,17 +124,16 @@ class Models:
             prev = w
         return out
 
-    def scores(self, indexed: list[list[int]]) -> np.ndarray:
-        """(sentence, subject): cross-entropy of the model of sentences about no subject less the subject's, per token."""
-        if not indexed:
+    def scores(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(sentence, subject): per-token cross-entropy of the better background model less the subject's.
+
+        ``flat`` has the sentences' numbers one after another, ``sizes`` how many each has, one at least.
+        """
+        if not len(sizes):
             return np.zeros((0, len(self.subjects)))
-        flat = np.fromiter((i for s in indexed for i in s), np.int64)
-        which = np.repeat(np.arange(len(indexed)), [len(s) for s in indexed])
-        ok = flat >= 0
-        out = np.zeros((len(indexed), len(self.subjects) + 1))
-        np.add.at(out, which[ok], self.table[flat[ok]])
-        out /= np.array([max(len(s), 1) for s in indexed])[:, None]
-        return out[:, :-1] - out[:, -1:]
+        table = np.concatenate([self.table, np.zeros((1, self.table.shape[1]), np.float32)])  # -1 is the last row
+        out = np.add.reduceat(table[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        return out[:, :-1] - np.maximum(out[:, -1:], 0)  # the table is over the background of all documents, which is 0 in it
 
 
 def vocabulary_of(docs: Iterable[list[list[str]]]) -> dict[tuple[str, ...], int]:
@@ -141,159 +148,201 @@ def vocabulary_of(docs: Iterable[list[list[str]]]) -> dict[tuple[str, ...], int]
     return {g: i for i, g in enumerate(grams)}
 
 
-def count_grams(docs: Iterable[list[list[str]]], vocabulary: dict[tuple[str, ...], int]) -> tuple[np.ndarray, int]:
-    """Occurrences of the vocabulary's n-grams, and of all words."""
-    ids: list[int] = []
-    total = 0
-    get = vocabulary.get
-    for d in docs:
-        for s in d:
-            total += len(s)
-            for w in s:
-                if (i := get((w,))) is not None:
-                    ids.append(i)
-            for p in zip(s, s[1:], strict=False):
-                if (i := get(p)) is not None:
-                    ids.append(i)
-    return np.bincount(np.array(ids, np.int64), minlength=len(vocabulary)), total
+def count_grams(flat: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Occurrences of each n-gram, from the numbers that ``index`` gives: a known pair is one of its last word too."""
+    seen = flat[flat >= 0]
+    words = tail[seen]
+    return np.bincount(words, minlength=len(tail)) + np.bincount(seen[seen != words], minlength=len(tail))
+
+
+def tails(vocabulary: dict[tuple[str, ...], int]) -> np.ndarray:
+    """For each n-gram, its last word."""
+    out = np.zeros(len(vocabulary), np.int64)
+    for g, i in vocabulary.items():
+        out[i] = vocabulary[(g[-1],)]
+    return out
+
+
+def flattened(sentences: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter((i for s in sentences for i in s), np.int64), np.array([len(s) for s in sentences], np.int64)
 
 
 def train(docs: list[list[list[str]]], labels: list[set[str]], subjects: list[str], vocabulary: dict, back: np.ndarray, back_total: int) -> Models:
     """Fit the subject models to labelled documents whose sentences aren't labelled one by one.
 
-    Sentences start shared out among their document's labels; then each goes to the subject it scores best
-    for (labels of its document favoured), or to the model of no subject, and all are fitted anew. The margin is then
-    chosen by how well the documents' labels are given back.
+    The margins are chosen by how well the labels of documents are given back by models that were fitted to
+    the other half of them.
+    """
+    marked = np.zeros((len(docs), len(subjects)))
+    for k, own in enumerate(labels):
+        for j, s in enumerate(subjects):
+            marked[k, j] = s in own
+    m = _fit(docs, marked, subjects, vocabulary, back, back_total)
+    halves = [np.arange(h, len(docs), 2) for h in (0, 1)]
+    score, owner = [], []
+    for own, other in (halves, halves[::-1]):
+        half = _fit([docs[k] for k in own], marked[own], subjects, vocabulary, back, back_total)
+        for k in other:
+            if docs[k]:
+                score.append(half.scores(*flattened([half.index(s) for s in docs[k]])))
+                owner.append(np.full(len(docs[k]), k))
+    if score:
+        m.margin = calibrate(np.concatenate(score), np.concatenate(owner), marked)
+    return m
+
+
+def _fit(docs: list[list[list[str]]], marked: np.ndarray, subjects: list[str], vocabulary: dict, back: np.ndarray, back_total: int) -> Models:
+    """Sentences start shared out among their document's labels; then each goes to the subject it scores best
+    for (labels of its document favoured), or to the model of no subject, and all are fitted anew.
     """
     m = Models(subjects, vocabulary)
     m.back, m.back_total = back.astype(float), float(max(back_total, 1))
-    m.tail = np.zeros(len(vocabulary), np.int64)
-    for g, i in vocabulary.items():
-        m.tail[i] = vocabulary[(g[-1],)]
-    number = {s: i for i, s in enumerate(subjects)}
+    m.tail = tails(vocabulary)
     both = [(s, k) for k, d in enumerate(docs) for s in d]
     owner = np.array([k for _, k in both], np.int64)
-    marked = np.zeros((len(docs), len(subjects)))
-    for k, own in enumerate(labels):
-        for s in own & set(subjects):
-            marked[k, number[s]] = 1
-    single = [[i for g in ((w,) for w in s) if (i := vocabulary.get(g)) is not None] + [i for p in zip(s, s[1:], strict=False) if (i := vocabulary.get(p)) is not None] for s, _ in both]
-    flat = np.fromiter((i for s in single for i in s), np.int64)
-    which = np.repeat(np.arange(len(single)), [len(s) for s in single])
-    indexed = [m.index(s) for s, _ in both]
+    flat, sizes = flattened([m.index(s) for s, _ in both])
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    ok = flat >= 0
+    words = m.tail[flat[ok]]
+    pair = flat[ok] != words
+    grams, which = np.concatenate([words, flat[ok][pair]]), np.concatenate([which[ok], which[ok][pair]])
     weight = np.zeros((len(owner), len(subjects) + 1))
     weight[:, :-1] = (marked / np.maximum(marked.sum(1, keepdims=True), 1))[owner]
     for r in range(ROUNDS):
         for j in range(len(subjects) + 1):
-            m.counts[:, j] = np.bincount(flat, weights=weight[which, j], minlength=len(vocabulary))
+            m.counts[:, j] = np.bincount(grams, weights=weight[which, j], minlength=len(vocabulary))
         m.fit()
         if r == ROUNDS - 1 or not len(owner):
             break
-        score = m.scores(indexed) + LABELLED * marked[owner]
+        score = m.scores(flat, sizes) + LABELLED * marked[owner]
         best = score.argmax(1)
         weight = np.zeros_like(weight)
         good = score[np.arange(len(best)), best] > ASSIGN
         weight[np.flatnonzero(good), best[good]] = 1
         weight[np.flatnonzero(~good), -1] = 1
-    if len(owner):
-        m.margin = calibrate(m.scores(indexed), owner, marked)
     return m
 
 
-def calibrate(score: np.ndarray, owner: np.ndarray, marked: np.ndarray) -> float:
-    """The margin with the best agreement (F1) between the subjects accepted and the labels of the documents."""
+def calibrate(score: np.ndarray, owner: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """For each subject the margin with the best agreement (F1) between the documents that get it and those labelled with it.
+
+    Subjects with fewer than OWN_MARGIN labelled documents take the margin that is best for all together.
+    """
     best, top = score.argmax(1), score.max(1)
-    size = np.bincount(owner, minlength=len(marked))
-    found = []
+    size = np.maximum(np.bincount(owner, minlength=len(marked)), 1)
+    right, got = [], []
     for margin in MARGINS:
         hit = np.zeros_like(marked)
         np.add.at(hit, (owner[top > margin], best[top > margin]), 1)
-        got = (hit >= SHARE * np.maximum(size, 1)[:, None]) & (hit > 0)
-        right = (got & (marked > 0)).sum()
-        found.append(2 * right / max(got.sum() + marked.sum(), 1))
-    good = [m for m, f in zip(MARGINS, found, strict=True) if f >= max(found) - 0.002]
-    return float(np.median(good))
-
-
-def accepted(m: Models, own: list[list[str]]) -> dict[str, float]:
-    """Subject -> share of a document's sentences, for those that are accepted."""
-    if not own:
-        return {}
-    score = m.scores([m.index(s) for s in own])
-    best, top = score.argmax(1), score.max(1)
-    hit = np.bincount(best[top > m.margin], minlength=len(m.subjects)) / len(own)
-    return {m.subjects[j]: float(hit[j]) for j in np.flatnonzero(hit >= SHARE)}
+        one = taken(hit, size[:, None])
+        right.append((one & (marked > 0)).sum(0)), got.append(one.sum(0))
+    right, got, want = np.array(right), np.array(got), (marked > 0).sum(0)
 
+    def choice(r: np.ndarray, g: np.ndarray, w: int) -> float:
+        f = 2 * r / np.maximum(g + w, 1)
+        return float(np.median(MARGINS[f >= f.max() - 0.002]))
 
-def prepared(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, prose): each document's sentences, one a line, words parted by blanks; passages of test items are left out.
+    common = choice(right.sum(1), got.sum(1), want.sum())
+    return np.array([choice(right[:, j], got[:, j], want[j]) if want[j] >= OWN_MARGIN else common for j in range(marked.shape[1])])
 
-    Cut by a checkpoint, as it is read three times. ``items`` is a test set, of bounded size.
-    """
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    tests = documents.sparkSession.sparkContext.broadcast([r.text for r in items.where(F.col("text").isNotNull()).select("text").distinct().toLocalIterator()])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        triples = passage_words(tests.value)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "prose": ["\n".join(" ".join(s) for s in sentences(t) if not is_passage(s, triples)) for t in pdf["text"]]})
+def taken(hits: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether so many of a document's sentences make a subject its own."""
+    return (hits > 0) & (hits >= SHARE * size - 1e-9)
 
-    texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
-    return cut(texts.mapInPandas(run, f"doc_id {kind}, prose string").where("prose <> ''"))
+
+def accepted(m: Models, flat: np.ndarray, sizes: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, subject, share) of the subjects accepted; ``owner``: the document of each sentence, of ``docs`` in all."""
+    score = m.scores(flat, sizes)
+    hit = np.zeros((docs, len(m.subjects)))
+    size = np.maximum(np.bincount(owner, minlength=docs), 1)
+    if len(score):
+        best, top = score.argmax(1), score.max(1)
+        good = top > m.margin[best]
+        np.add.at(hit, (owner[good], best[good]), 1)
+    d, j = np.nonzero(taken(hit, size[:, None]))
+    return d, j, hit[d, j] / size[d]
 
 
-def split(prose: str) -> list[list[str]]:
-    return [s.split(" ") for s in prose.split("\n")]
+def test_triples(items: DataFrame) -> set[tuple[str, ...]]:
+    """Word triples of the test items, a set of bounded size: beyond TEST_WORDS words it isn't sent, and an error raised."""
+    texts = items.where(F.col("text").isNotNull()).select("text").distinct()
+    if (texts.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0) > TEST_WORDS:
+        raise ValueError(f"test items of more than {TEST_WORDS} words: give a smaller set")
+    return passage_words(r.text for r in texts.toLocalIterator())
 
 
 def clean_labels(labels: DataFrame, areas: DataFrame) -> DataFrame:
     """(doc_id, subjects): the distinct labels of each document that name an area, whatever their case and blanks."""
     known = areas.select(F.lower(F.trim("subject")).alias("subject")).where("subject <> ''").distinct()
     own = labels.where(F.col("doc_id").isNotNull()).select("doc_id", F.lower(F.trim("subject")).alias("subject"))
-    return own.join(F.broadcast(known), "subject").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
+    return own.join(known, "subject").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
 
 
 def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, items: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(doc_id, subject, share) of the subjects that each document is about.
 
-    The subject models are fitted on the driver to at most ``train_docs`` labelled documents; the background
-    is counted over all documents, for the words and word pairs of those. Both, and the areas, are bounded
-    by that sample, not by the corpus. Documents without prose have no subject; without labels none has. A
-    document that is repeated gives repeated rows.
+    The subject models are fitted on the driver to at most ``train_docs`` labelled documents. One pass over all
+    documents reads their sentences into numbers of these documents' words and word pairs, which is cut by a
+    checkpoint; the background is counted over all of it, and then it is scored, both on whole arrays. Models
+    and vocabulary are bounded by the sample, not by the corpus. Documents without prose have no subject;
+    without labels none has. A document that is repeated gives repeated rows.
     """
     spark = documents.sparkSession
-    own = prepared(documents, items)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
     names = sorted({r.subject for r in areas.select(F.lower(F.trim("subject")).alias("subject")).where("subject <> ''").distinct().toLocalIterator()})
-    sample = clean_labels(labels, areas).join(own, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).collect()
-    docs = [split(r.prose) for r in sample]
+    tests = spark.sparkContext.broadcast(test_triples(items))
+    chosen = clean_labels(labels, areas).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # train_docs at most
+    sample = [(own, r.subjects) for r in rows if (own := [s for s in sentences(r.text) if not is_passage(s, tests.value)])]
+    docs = [d for d, _ in sample]
     vocabulary = vocabulary_of(docs)
-    kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, subject string, share double"
     if not vocabulary or not names:
         return spark.createDataFrame([], schema)
     sent = spark.sparkContext.broadcast(vocabulary)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total = np.zeros(len(sent.value), np.int64), 0
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, triples = Models([], sent.value).index, tests.value
         for pdf in batches:
-            one, words = count_grams((split(t) for t in pdf["prose"]), sent.value)
-            n += one
-            total += words
+            grams, sizes = [], []
+            for t in pdf["text"]:
+                own = [s for s in sentences(t) if not is_passage(s, triples)]
+                grams.append([i for s in own for i in index(s)]), sizes.append([len(s) for s in own])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "grams": grams, "sizes": sizes})
+
+    own = cut(texts.mapInPandas(read, f"doc_id {kind}, grams array<int>, sizes array<int>").where(F.size("sizes") > 0))
+    tail = spark.sparkContext.broadcast(tails(vocabulary))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(len(tail.value), np.int64), 0
+        for b in batches:
+            flat = b.column("grams").flatten().to_numpy()
+            n += count_grams(flat, tail.value)
+            total += len(flat)
         seen = np.flatnonzero(n)
-        yield pd.DataFrame({"gram": np.append(seen, -1), "n": np.append(n[seen], total)})
+        yield pa.RecordBatch.from_pydict({"gram": np.append(seen, -1), "n": np.append(n[seen], total)})
 
     back = np.zeros(len(vocabulary), np.int64)
     back_total = 0
-    for r in own.mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in own.select("grams").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         if r.gram < 0:
             back_total = r.n
         else:
             back[r.gram] = r.n
-    fitted = spark.sparkContext.broadcast(train(docs, [set(r.subjects) for r in sample], names, vocabulary, back, back_total))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [(i, s, v) for i, t in zip(pdf["doc_id"], pdf["prose"], strict=True) for s, v in accepted(fitted.value, split(t)).items()]
-            yield pd.DataFrame(got, columns=["doc_id", "subject", "share"])
-
-    return own.mapInPandas(score, schema)
+    model = train(docs, [set(x) for _, x in sample], names, vocabulary, back, back_total)
+    model.vocabulary = {}  # not needed to score
+    fitted = spark.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = fitted.value
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                b = whole.slice(at, 1000)
+                flat, sizes = b.column("grams").flatten().to_numpy(), b.column("sizes").flatten().to_numpy().astype(np.int64)
+                owner = np.repeat(np.arange(len(b)), b.column("sizes").value_lengths().to_numpy())
+                d, j, share = accepted(m, flat, sizes, owner, len(b))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), pa.array([m.subjects[k] for k in j], pa.string()), pa.array(share)], ["doc_id", "subject", "share"])
+
+    return own.mapInArrow(score, schema)

@@ -30,6 +30,8 @@ def _truth(text, share=1 / 6):
 def test_sentences_are_prose():
     text = "# Title\n\nThe lamp is lit. See `loadLamp` in src/a/b.ts for more of it!\n\n```ts\nconst the = of(and);\n```\n- another point stands here\nconst a = f(b);\n// short note\n"
     assert subjects.sentences(text) == [["the", "lamp", "is", "lit"], ["see", "_", "in", "_", "for", "more", "of", "it"], ["another", "point", "stands", "here"]] or [s[0] for s in subjects.sentences(text)] == ["the", "see", "another"]
+    many = "Plain words here. Then `code` and 3 x/y.ts of fooBar() stand. A<b c>d f() more words"
+    assert all(subjects._MAY.search(m[0]) for m in subjects._INLINE.finditer(many * 2 + " https://a.b/c aB1 Ab2Cd w1 x()"))
     assert subjects.sentences("") == [] and subjects.sentences("one two") == []
     triples = subjects.passage_words(["Name the lamp that must be moved before the door can be sealed."])
     assert subjects.is_passage("the lamp that must be moved before".split(), triples) and not subjects.is_passage("the lamp was lit again last year".split(), triples)
@@ -61,11 +63,41 @@ def test_held_out_documents(spark):
 def test_background_counts_are_whole():
     docs = [[["a", "b", "a", "b"], ["c"]], [["a", "b"]]]
     v = subjects.vocabulary_of(docs)
-    n, total = subjects.count_grams(docs, v)
-    assert total == 7 and n[v[("a",)]] == 3 and n[v[("a", "b")]] == 3 and ("b", "a") not in v
+    m = subjects.Models([], v)
+    flat, sizes = subjects.flattened([m.index(s) for d in docs for s in d] + [m.index(["z", "b"])])
+    n = subjects.count_grams(flat, subjects.tails(v))
+    assert len(flat) == 9 and n[v[("a",)]] == 3 and n[v[("b",)]] == 4 and n[v[("a", "b")]] == 3 and ("b", "a") not in v
+
+
+def test_a_sixth_is_a_sixth():
+    assert subjects.taken(np.array([1, 2, 1, 0]), np.array([6, 12, 7, 0])).tolist() == [True, True, False, False]
 
 
 def test_calibration_prefers_agreement():
     score = np.array([[0.9, 0.0], [0.8, 0.1], [0.2, 0.1], [0.1, 0.2]])
     m = subjects.calibrate(score, np.array([0, 0, 1, 1]), np.array([[1.0, 0.0], [0.0, 0.0]]))
-    assert 0.2 <= m < 0.8
+    assert len(m) == 2 and all(0.2 <= x < 0.8 for x in m)
+
+
+def test_margins_of_their_own():
+    n = 2 * subjects.OWN_MARGIN
+    score = np.zeros((2 * n, 2))
+    score[:n, 0], score[n:, 1] = np.where(np.arange(n) % 2, 0.7, 0.5), np.where(np.arange(n) % 2, 0.4, 0.2)
+    marked = np.zeros((2 * n, 2))
+    marked[:n, 0] = marked[n:, 1] = np.arange(n) % 2
+    m = subjects.calibrate(score, np.arange(2 * n), marked)
+    assert 0.5 <= m[0] < 0.7 and 0.2 <= m[1] < 0.4
+
+
+def test_scores_are_over_the_better_background():
+    m = subjects.Models(["a"], {("x",): 0, ("y",): 1})
+    m.table = np.array([[1.0, -0.5], [0.2, 0.4]], np.float32)
+    assert np.allclose(m.scores(np.array([0, 1, -1]), np.array([1, 2])), [[1.0], [0.1 - 0.2]])
+
+
+def test_too_many_test_items_raise(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "TEST_WORDS", 3)
+    import pytest
+
+    with pytest.raises(ValueError):
+        subjects.test_triples(spark.createDataFrame([(1, "four words are here")], "item_id long, text string"))
