@@ -14,6 +14,10 @@ from loregraph.functions.text import days_between
 from loregraph.session import cut
 
 
+#: Lines of a block in which comments and functions are matched.
+LINES = 64
+
+
 def module_nodes(files: DataFrame, least: int = 3) -> DataFrame:
     """(repo, module, files) of the directories with an ``index.ts`` or at least ``least`` distinct files."""
     own = files.select("repo", "path").distinct().withColumn("module", dirname(F.col("path")))
@@ -183,12 +187,14 @@ def suffix_join(paths: DataFrame, files: DataFrame) -> DataFrame:
 def nearest_function(comments: DataFrame, functions: DataFrame) -> DataFrame:
     """Each comment (repo, path, line, ...) with the first function of its file whose lines hold it, or null.
 
-    The interval join runs inside one file, after an equi-join on it; hot files are split by AQE.
+    Functions are laid out over blocks of LINES lines, so that a comment meets those of its own block only.
     """
+    block = lambda c: F.floor(F.col(c) / LINES)
     f = functions.select("repo", "path", "func_name", "start_line", "end_line").distinct()
     keys = ["repo", "path", "line"]
     c = comments.select(*keys).distinct()
-    hit = c.join(f, ["repo", "path"]).where(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy(*keys).agg(F.min_by("func_name", F.struct("start_line", "func_name")).alias("enclosing"))
+    f = f.where("start_line <= end_line").withColumn("_block", F.explode(F.sequence(block("start_line"), block("end_line"))))
+    hit = c.withColumn("_block", block("line")).join(f, ["repo", "path", "_block"]).where(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy(*keys).agg(F.min_by("func_name", F.struct("start_line", "func_name")).alias("enclosing"))
     return comments.join(hit, keys, "left")
 
 

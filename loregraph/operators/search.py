@@ -19,12 +19,21 @@ AUTO, SUGGEST = 0.7, 0.4
 MAX_PATTERN = 200
 #: Paths and queries of a block, where there are many queries: a task scores one block of each against the other.
 PATHS, QUERIES = 500, 1000
+#: Queries that are broadcast at most.
+FEW = 200
+#: Folders of a kept index.
+BUCKETS = 64
 # Names of configuration files.
 CONFIG_FILES = ["package.json", "tsconfig.json", ".env", ".env.example", "jest.config.js", "jest.config.ts", "vitest.config.ts", "vitest.config.js", "eslint.config.js", ".eslintrc.json", ".eslintrc.js", "prettier.config.js", ".prettierrc", ".prettierrc.json", "tsup.config.ts", "tsup.config.js", "vite.config.ts", "vite.config.js", "webpack.config.js", "rollup.config.js", "babel.config.js", ".babelrc"]
 
 
-def keyword_index(functions: DataFrame, modules: DataFrame, patterns: DataFrame | None = None, prose: DataFrame | None = None) -> DataFrame:
-    """(kind, token, repo, path), each once: exported names with their parts, key statements, error statuses, modules, patterns and summaries."""
+def keyword_index(functions: DataFrame, modules: DataFrame, patterns: DataFrame | None = None, prose: DataFrame | None = None, question: str | None = None) -> DataFrame:
+    """(kind, token, repo, path), each once: exported names with their parts, key statements, error statuses, modules, patterns and summaries.
+
+    With a ``question`` only the entries of its tokens, filtered where they arise, before anything is shuffled.
+    """
+    asked = None if question is None else query_tokens(F.lit(question))  # a constant, folded by the optimiser
+    wanted = (lambda t: F.lit(True)) if asked is None else (lambda t: F.array_contains(asked, F.lower(t)))
     entry = lambda kind: lambda token: F.struct(F.lit(kind).alias("kind"), F.lower(token).alias("token"))
     none = F.expr("array()").cast("array<struct<kind:string,token:string>>")
     names = F.when(F.col("is_exported"), F.transform(F.concat(F.array("func_name"), F.filter(camel_parts(F.col("func_name")), lambda p: F.length(p) > 2)), entry("export"))).otherwise(none)
@@ -32,13 +41,27 @@ def keyword_index(functions: DataFrame, modules: DataFrame, patterns: DataFrame
     status = F.transform(F.filter("key_statements", lambda s: s["category"].isin("error", "condition")), lambda s: http_status(s["text"], F.lit("")).cast("string"))
     errors = F.transform(F.array_compact(status), entry("error"))
     every = F.array_distinct(F.concat(names, F.coalesce(keys, none), F.coalesce(errors, none)))
+    every = every if asked is None else F.filter(every, lambda e: wanted(e["token"]))
     out = functions.select("repo", "path", F.explode(every).alias("e")).select("repo", "path", "e.token", "e.kind")
     out = out.unionByName(modules.select("repo", F.col("module").alias("path"), basename(F.col("module")).alias("token")).withColumn("kind", F.lit("module")))
     if patterns is not None:
         out = out.unionByName(patterns.select("repo", "path", F.col("pattern").alias("token")).withColumn("kind", F.lit("pattern")))
     if prose is not None:
         out = out.unionByName(prose.select("repo", "path", F.explode(summary_words(F.col("summary"))).alias("token")).withColumn("kind", F.lit("summary")))
-    return out.select("kind", F.lower("token").alias("token"), "repo", "path").distinct()
+    return out.where(wanted(F.col("token"))).select("kind", F.lower("token").alias("token"), "repo", "path").distinct()
+
+
+def write_index(index: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """Keep an index as a table in ``buckets`` folders by token, sorted by it: a question reads its tokens' folders only."""
+    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
+    index.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def read_index(spark: SparkSession, folder: str, question: str, buckets: int = BUCKETS) -> DataFrame:
+    """The entries of a question's tokens in an index kept by ``write_index``: folders are pruned by bucket, row groups by token."""
+    tokens = spark.range(1).select(F.explode(query_tokens(F.lit(question))).alias("token")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).collect()
+    kept = spark.read.parquet(folder)
+    return kept.where(F.col("bucket").isin(sorted({r.bucket for r in tokens})) & F.col("token").isin([r.token for r in tokens])).drop("bucket")
 
 
 def prefilter(spark: SparkSession, query: str, index: DataFrame, parents: DataFrame, fan: DataFrame) -> DataFrame:
@@ -46,7 +69,8 @@ def prefilter(spark: SparkSession, query: str, index: DataFrame, parents: DataFr
 
     Hits of the query's tokens add up by kind; each absent module of a hit file enters once with 1; the
     BONUS_FILES files of highest fan-in of all (HIGH_FAN_IN at least) get 1 more. The query's tokens and the
-    weights are a few rows and broadcast; the index is filtered before it is shuffled.
+    weights are a few rows and broadcast. ``index`` may be the whole, or what ``keyword_index`` makes for the
+    question or ``read_index`` reads for it.
     """
     tokens = spark.range(1).select(F.posexplode(query_tokens(F.lit(query))).alias("pos", "token"))
     weights = spark.createDataFrame([(k, w, i) for i, (k, w) in enumerate(WEIGHTS.items())], "kind string, weight int, rank int")
@@ -68,13 +92,16 @@ def candidate_lines(candidates: DataFrame, prose: DataFrame) -> DataFrame:
     return own.select("repo", "path", F.concat_ws("", "path", F.lit(": "), F.coalesce("summary", F.lit("(no summary)")), F.lit(" [Matched: "), F.array_join("reasons", ", "), F.lit("]")).alias("line"))
 
 
-def _ranked(queries: DataFrame, files: DataFrame, parts: Callable[[Column], Column], score: Callable[[Column, Column], Column], k: int, many: bool) -> DataFrame:
+def _ranked(queries: DataFrame, files: DataFrame, parts: Callable[[Column], Column], score: Callable[[Column, Column], Column], k: int, many: bool | None) -> DataFrame:
     """(query, path, score, rank): the best ``k`` paths with a positive score for each query; ties by path.
 
-    A handful of queries is broadcast. ``many`` are searched block by block, every block of them against every
-    block of paths, without a broadcast; a task keeps the best ``k`` of its pairs, so little is shuffled.
+    At most FEW queries, which is looked up unless ``many`` tells it, are broadcast. More are searched block by
+    block, every block of them against every block of paths, without a broadcast; a task keeps the best ``k`` of
+    its pairs, so little is shuffled.
     """
     p, q = files.select("path").distinct(), queries.select("query").distinct()
+    if many is None:
+        many = q.limit(FEW + 1).count() > FEW
     if many:
         p, q = cut(p), cut(q)
         p, q = p.repartition(p.count() // PATHS + 1, "path"), q.repartition(q.count() // QUERIES + 1, "query")
@@ -85,15 +112,15 @@ def _ranked(queries: DataFrame, files: DataFrame, parts: Callable[[Column], Colu
     return best.where("score > 0")  # after the rank: before it, each pair would be scored once for the filter and once more
 
 
-def fuzzy(queries: DataFrame, files: DataFrame, k: int = 3, many: bool = False) -> DataFrame:
+def fuzzy(queries: DataFrame, files: DataFrame, k: int = 3, many: bool | None = None) -> DataFrame:
     """(query, path, score, rank, confidence): the best ``k`` paths with a positive score for each query.
 
-    ``queries`` is a handful of paths, or ``many``; each path is scored once per query.
+    Each path is scored once per query.
     """
     return _ranked(queries, files, lower_parts, parts_similarity, k, many).withColumn("confidence", confidence(F.col("score")))
 
 
-def fuzzy_match(queries: DataFrame, files: DataFrame, many: bool = False) -> DataFrame:
+def fuzzy_match(queries: DataFrame, files: DataFrame, many: bool | None = None) -> DataFrame:
     """(query, matched, alternatives): the best path if it is good enough, and what else may be meant."""
     best = fuzzy(queries, files, 5, many).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "confidence"))).alias("b"))
     top = F.get("b", F.lit(0))
@@ -101,7 +128,7 @@ def fuzzy_match(queries: DataFrame, files: DataFrame, many: bool = False) -> Dat
     return best.select("query", F.when(top["confidence"] >= SUGGEST, top["path"]).alias("matched"), F.when(top["confidence"] >= AUTO, F.slice(paths, 2, 3)).otherwise(F.slice(paths, 1, 3)).alias("alternatives"))
 
 
-def similar_paths(queries: DataFrame, files: DataFrame, k: int = 3, many: bool = False) -> DataFrame:
+def similar_paths(queries: DataFrame, files: DataFrame, k: int = 3, many: bool | None = None) -> DataFrame:
     """(query, path, score, rank) by shared segments."""
     return _ranked(queries, files, full_parts, segment_score, k, many)
 

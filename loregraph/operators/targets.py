@@ -20,9 +20,10 @@ class Target:
     of: str | None = None
     pattern: str | None = None
     scope: str | None = None
+    within: str | None = None
 
 
-_NEEDED = {"file": ("path",), "function": ("name",), "grep": ("pattern",), "importers": ("of",), "callers": ("of",)}
+_NEEDED = {"file": ("path",), "function": ("name", "in"), "grep": ("pattern",), "importers": ("of",), "callers": ("of",)}
 
 
 def parse_targets(reply: str) -> list[Target]:
@@ -38,7 +39,7 @@ def parse_targets(reply: str) -> list[Target]:
             raise ValueError(f"invalid target: {t!r}")
         if t["type"] == "callers" and ":" not in t["of"]:
             raise ValueError(f"callers of {t['of']!r}: file:function expected")
-        out.append(Target(**{k: t.get(k) for k in ("type", "path", "name", "of", "pattern", "scope")}))
+        out.append(Target(**{k: t.get(k) for k in ("type", "path", "name", "of", "pattern", "scope")}, within=t.get("in")))
     return out
 
 
@@ -52,8 +53,8 @@ def resolve(targets: list[Target], functions: DataFrame, symbols: DataFrame, cal
         if t.type == "file":
             one = functions.where(F.col("path") == t.path).select("repo", "path", F.lit(t.path).alias("detail")).distinct()
         elif t.type == "function":
-            own = functions.where(F.col("func_name") == t.name)
-            one = (own.where(F.col("path") == t.path) if t.path else own).select("repo", "path", F.col("signature").alias("detail")).distinct()
+            own = functions.where((F.col("path") == t.within) & (F.col("func_name") == t.name))
+            one = own.select("repo", "path", F.col("signature").alias("detail")).distinct()
         elif t.type == "grep":
             one = search.grep(functions, t.pattern, t.scope).select("repo", "path", F.concat_ws(": ", "kind", "text").alias("detail"))
         elif t.type == "importers":

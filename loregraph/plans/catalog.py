@@ -17,20 +17,24 @@ EVERY = 50
 GREP = "promise\\.all|session"
 
 
-def _functions(s: SparkSession, d: str) -> DataFrame:
-    return latest(table(s, d, "function_data"), "func_id", "extracted_at")
+def _functions(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return latest(table(s, d, "function_data"), "func_id", "extracted_at", columns)
 
 
-def _files(s: SparkSession, d: str) -> DataFrame:
-    return latest(table(s, d, "file_nodes"), "file_id", "extracted_at")
+def _files(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return latest(table(s, d, "file_nodes"), "file_id", "extracted_at", columns)
+
+
+def _paths(s: SparkSession, d: str) -> DataFrame:
+    return _files(s, d, "repo", "path")
 
 
 def _commits(s: SparkSession, d: str) -> DataFrame:
-    return latest(table(s, d, "commits"), "commit_id", "ingested_at")
+    return latest(table(s, d, "commits"), "commit_id", "ingested_at", ["commit_id", "repo", "path", "author", "commit_date"])
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
-    e = latest(table(s, d, "edges"), "edge_id", "recorded_at").where("edge_target IS NOT NULL")
+    e = latest(table(s, d, "edges"), "edge_id", "recorded_at", ["repo", "src_id", "edge_type", "edge_target"]).where("edge_target IS NOT NULL")
     return e.select("repo", F.col("src_id").alias("src"), "edge_type", F.regexp_replace("edge_target", r"^\./", "").alias("dst"))
 
 
@@ -39,11 +43,11 @@ def _imports(s: SparkSession, d: str) -> DataFrame:
 
 
 def _modules(s, d):
-    return graph.module_nodes(_files(s, d))
+    return graph.module_nodes(_paths(s, d))
 
 
 def _fan(s, d):
-    return graph.fan(_imports(s, d), _files(s, d))
+    return graph.fan(_imports(s, d), _paths(s, d))
 
 
 def _seed(s, d):
@@ -62,15 +66,15 @@ def _seeds(s, d):
     return _every(s, d).select("repo", F.col("path").alias("seed"), F.col("path").alias("node"))
 
 
-def _index(s, d):
-    f = _functions(s, d)
+def _index(s, d, question=None):
+    f = _functions(s, d, "repo", "path", "func_name", "is_exported", "key_statements", "code_snippet")
     prose = _prose(s, d)
-    return search.keyword_index(f, _modules(s, d), textops.patterns(f), prose)
+    return search.keyword_index(f, _modules(s, d), textops.patterns(f), prose, question)
 
 
 def _prose(s, d):
     """(repo, path, summary): the first documentation text of each file."""
-    e = _files(s, d).select("repo", "path", F.explode("jsdoc").alias("name", "v")).select("repo", "path", "name", F.col("v.description").alias("summary")).where("trim(summary) <> ''")
+    e = _files(s, d, "repo", "path", "jsdoc").select("repo", "path", F.explode("jsdoc").alias("name", "v")).select("repo", "path", "name", F.col("v.description").alias("summary")).where("trim(summary) <> ''")
     return e.groupBy("repo", "path").agg(F.min_by("summary", "name").alias("summary"))
 
 
@@ -79,7 +83,7 @@ def keyword_index(s, d):
 
 
 def prefilter_topk(s, d):
-    return search.prefilter(s, QUESTION, _index(s, d), graph.parent_edges(_files(s, d), _modules(s, d)), _fan(s, d))
+    return search.prefilter(s, QUESTION, _index(s, d, QUESTION), graph.parent_edges(_paths(s, d), _modules(s, d)), _fan(s, d))
 
 
 def candidate_lines(s, d):
@@ -103,7 +107,7 @@ def summary_words_top(s, d):
 
 
 def statement_keywords(s, d):
-    st = _functions(s, d).select(F.explode("key_statements").alias("s"))
+    st = _functions(s, d, "key_statements").select(F.explode("key_statements").alias("s"))
     return st.select(F.explode(T.statement_keywords(F.col("s.text"))).alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -112,7 +116,7 @@ def fan_in_out(s, d):
 
 
 def age_recency(s, d):
-    return graph.ages(_files(s, d), NOW)
+    return graph.ages(_files(s, d, "repo", "path", "created_at", "last_modified"), NOW)
 
 
 def commit_rollup(s, d):
@@ -133,11 +137,11 @@ def module_nodes(s, d):
 
 
 def contains_edges(s, d):
-    return graph.contains_edges(_files(s, d), _functions(s, d), _modules(s, d))
+    return graph.contains_edges(_paths(s, d), _functions(s, d, "repo", "path", "node_id", "is_exported"), _modules(s, d))
 
 
 def parent_edges(s, d):
-    return graph.parent_edges(_files(s, d), _modules(s, d))
+    return graph.parent_edges(_paths(s, d), _modules(s, d))
 
 
 def imports_resolved(s, d):
@@ -145,12 +149,12 @@ def imports_resolved(s, d):
     i = _imports(s, d)
     up = F.when(F.col("src").contains("/"), F.concat(F.repeat(F.lit("../"), F.size(F.split("src", "/")) - 1), F.regexp_replace("dst", r"\.ts$", ""))).otherwise(F.concat(F.lit("./"), F.regexp_replace("dst", r"\.ts$", "")))
     spec = i.select("repo", F.col("src").alias("path"), up.alias("spec")).distinct().withColumn("ord", F.xxhash64("repo", "path", "spec"))
-    return graph.resolve_imports(spec, _files(s, d)).select("repo", "path", "spec", "target")
+    return graph.resolve_imports(spec, _paths(s, d)).select("repo", "path", "spec", "target")
 
 
 def import_counts(s, d):
     """Import edges that resolve, repeated statements counted."""
-    return _imports(s, d).join(_files(s, d).select("repo", F.col("path").alias("dst")).distinct(), ["repo", "dst"], "left_semi").groupBy("repo", "src", "dst").agg(F.count(F.lit(1)).alias("statements"))
+    return _imports(s, d).join(_paths(s, d).select("repo", F.col("path").alias("dst")).distinct(), ["repo", "dst"], "left_semi").groupBy("repo", "src", "dst").agg(F.count(F.lit(1)).alias("statements"))
 
 
 def imported_by(s, d):
@@ -158,7 +162,7 @@ def imported_by(s, d):
 
 
 def test_files(s, d):
-    return graph.test_file_edges(_files(s, d))
+    return graph.test_file_edges(_paths(s, d))
 
 
 def impact_bfs(s, d):
@@ -176,7 +180,7 @@ def tests_for_impact(s, d):
 
 def context_bundle(s, d):
     """Files only, as in its SQL; ``context_bundle_every`` has the modules too."""
-    return graph.bundle(_seed(s, d), _edges(s, d), _files(s, d))
+    return graph.bundle(_seed(s, d), _edges(s, d), _paths(s, d))
 
 
 def impact_bfs_every(s, d):
@@ -192,16 +196,16 @@ def tests_for_impact_every(s, d):
 
 
 def context_bundle_every(s, d):
-    return graph.bundle(_seeds(s, d), _edges(s, d), _files(s, d), _modules(s, d))
+    return graph.bundle(_seeds(s, d), _edges(s, d), _paths(s, d), _modules(s, d))
 
 
 def _calls(s, d):
-    c = latest(table(s, d, "cross_file_calls"), "call_id", "recorded_at").where("callee IS NOT NULL AND caller IS NOT NULL")
+    c = latest(table(s, d, "cross_file_calls"), "call_id", "recorded_at", ["repo", "caller", "callee", "imported_as"]).where("callee IS NOT NULL AND caller IS NOT NULL")
     return c.select("repo", F.col("caller").alias("src"), F.regexp_replace("callee", r"^\./", "").alias("dst"), "imported_as")
 
 
 def function_consumers(s, d):
-    return graph.consumers(_functions(s, d).where("is_exported"), _calls(s, d))
+    return graph.consumers(_functions(s, d, "repo", "node_id", "is_exported").where("is_exported"), _calls(s, d))
 
 
 def cross_calls(s, d):
@@ -209,11 +213,11 @@ def cross_calls(s, d):
 
 
 def called_by(s, d):
-    return graph.called_by(_functions(s, d)).withColumn("callers", F.array_join("callers", "|"))
+    return graph.called_by(_functions(s, d, "repo", "path", "func_name", "calls")).withColumn("callers", F.array_join("callers", "|"))
 
 
 def _symbols(s, d):
-    y = latest(table(s, d, "resolved_symbols"), "symbol_id", "recorded_at").where("source_file IS NOT NULL")
+    y = latest(table(s, d, "resolved_symbols"), "symbol_id", "recorded_at", ["repo", "path", "local_name", "symbol_name", "source_file"]).where("source_file IS NOT NULL")
     return y.select("repo", "path", "local_name", "symbol_name", F.regexp_replace("source_file", r"^\./", "").alias("source_file"))
 
 
@@ -230,31 +234,31 @@ def reexport_chain(s, d):
 
 def suffix_join(s, d):
     refs = _symbols(s, d).select("repo", F.regexp_replace("source_file", r"^(?:src|packages/[^/]+/src)/", "").alias("ref"))
-    return graph.suffix_join(refs, _files(s, d)).groupBy("repo", "ref").agg(F.count(F.lit(1)).alias("files"))
+    return graph.suffix_join(refs, _paths(s, d)).groupBy("repo", "ref").agg(F.count(F.lit(1)).alias("files"))
 
 
 def affected_functions(s, d):
     """Functions of dependents whose code names a function that the imported file exports."""
-    f = _functions(s, d)
+    f = _functions(s, d, "repo", "path", "func_name", "is_exported", "code_snippet")
     words = f.select("repo", F.col("path").alias("src"), "func_name", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("code_snippet", F.lit("")), F.lit(r"\w+"), F.lit(0)))).alias("word"))
     exp = f.where("is_exported").select("repo", F.col("path").alias("dst"), F.col("func_name").alias("word")).distinct()
     return _imports(s, d).select("repo", "src", "dst").distinct().join(exp, ["repo", "dst"]).join(words, ["repo", "src", "word"]).select("repo", "src", "func_name", F.col("word").alias("uses")).distinct()
 
 
 def entry_points(s, d):
-    return search.entry_points(_fan(s, d), _functions(s, d))
+    return search.entry_points(_fan(s, d), _functions(s, d, "repo", "path", "func_name", "is_exported"))
 
 
 def overview_tree(s, d):
-    return search.tree(_files(s, d)).withColumn("names", F.array_join("names", "|"))
+    return search.tree(_paths(s, d)).withColumn("names", F.array_join("names", "|"))
 
 
 def relationships(s, d):
-    return search.relationships(_fan(s, d), _functions(s, d)).withColumn("exports", F.array_join("exports", "|"))
+    return search.relationships(_fan(s, d), _functions(s, d, "repo", "path", "func_name", "is_exported")).withColumn("exports", F.array_join("exports", "|"))
 
 
 def config_files(s, d):
-    both = _files(s, d).select("repo", "path").unionByName(table(s, d, "package_json").select("repo", "path"))
+    both = _paths(s, d).select("repo", "path").unionByName(table(s, d, "package_json").select("repo", "path"))
     return search.config_files(both)
 
 
@@ -263,15 +267,15 @@ def _asked(s):
 
 
 def fuzzy_paths(s, d):
-    return search.fuzzy(_asked(s), _files(s, d)).select("query", "path", F.col("score").cast("long").alias("score"), "confidence", F.col("rank").cast("long").alias("rank"))
+    return search.fuzzy(_asked(s), _paths(s, d)).select("query", "path", F.col("score").cast("long").alias("score"), "confidence", F.col("rank").cast("long").alias("rank"))
 
 
 def fuzzy_match(s, d):
-    return search.fuzzy_match(_asked(s), _files(s, d)).withColumn("alternatives", F.array_join("alternatives", "|"))
+    return search.fuzzy_match(_asked(s), _paths(s, d)).withColumn("alternatives", F.array_join("alternatives", "|"))
 
 
 def similar_paths(s, d):
-    return search.similar_paths(_asked(s), _files(s, d)).select("query", "path", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+    return search.similar_paths(_asked(s), _paths(s, d)).select("query", "path", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _every_path(s, d):
@@ -279,37 +283,37 @@ def _every_path(s, d):
 
 
 def fuzzy_paths_every(s, d):
-    return search.fuzzy(_every_path(s, d), _files(s, d), many=True).select("query", "path", F.col("score").cast("long").alias("score"), "confidence", F.col("rank").cast("long").alias("rank"))
+    return search.fuzzy(_every_path(s, d), _paths(s, d), many=True).select("query", "path", F.col("score").cast("long").alias("score"), "confidence", F.col("rank").cast("long").alias("rank"))
 
 
 def fuzzy_match_every(s, d):
-    return search.fuzzy_match(_every_path(s, d), _files(s, d), many=True).withColumn("alternatives", F.array_join("alternatives", "|"))
+    return search.fuzzy_match(_every_path(s, d), _paths(s, d), many=True).withColumn("alternatives", F.array_join("alternatives", "|"))
 
 
 def similar_paths_every(s, d):
-    return search.similar_paths(_every_path(s, d), _files(s, d), many=True).select("query", "path", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+    return search.similar_paths(_every_path(s, d), _paths(s, d), many=True).select("query", "path", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def grep_union(s, d):
-    return search.grep(_functions(s, d), GREP, "src/").groupBy("repo", "path", "kind").agg(F.count(F.lit(1)).alias("matches"))
+    return search.grep(_functions(s, d, "repo", "path", "func_name", "signature", "code_snippet", "is_exported", "key_statements"), GREP, "src/").groupBy("repo", "path", "kind").agg(F.count(F.lit(1)).alias("matches"))
 
 
 def grep_union_every(s, d):
     """All paths; ``grep_union`` searches one scope, as in its SQL."""
-    return search.grep(_functions(s, d), GREP).groupBy("repo", "path", "kind").agg(F.count(F.lit(1)).alias("matches"))
+    return search.grep(_functions(s, d, "repo", "path", "func_name", "signature", "code_snippet", "is_exported", "key_statements"), GREP).groupBy("repo", "path", "kind").agg(F.count(F.lit(1)).alias("matches"))
 
 
 def http_status(s, d):
-    return textops.error_statuses(_functions(s, d)).select("repo", "path", "func_name", "line", "status")
+    return textops.error_statuses(_functions(s, d, "repo", "path", "func_name", "key_statements")).select("repo", "path", "func_name", "line", "status")
 
 
 def errors_by_status(s, d):
-    e = textops.error_statuses(_functions(s, d)).where("status IS NOT NULL")
+    e = textops.error_statuses(_functions(s, d, "repo", "path", "func_name", "key_statements")).where("status IS NOT NULL")
     return e.groupBy("status", "description").agg(F.count(F.lit(1)).alias("paths"))
 
 
 def inline_comments(s, d):
-    return textops.inline_comments(_functions(s, d), ["func_id"], "code_snippet").select("func_id", F.col("n").cast("long").alias("n"), "comment")
+    return textops.inline_comments(_functions(s, d, "func_id", "code_snippet"), ["func_id"], "code_snippet").select("func_id", F.col("n").cast("long").alias("n"), "comment")
 
 
 def markers(s, d):
@@ -319,16 +323,16 @@ def markers(s, d):
 
 
 def key_statement_lines(s, d):
-    return textops.key_statements(_functions(s, d), ["func_id"], "code_snippet").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("func_id").alias("functions"))
+    return textops.key_statements(_functions(s, d, "func_id", "code_snippet"), ["func_id"], "code_snippet").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("func_id").alias("functions"))
 
 
 def comment_functions(s, d):
     c = table(s, d, "doc_comments").select("comment_id", "repo", "path", "line").distinct()
-    return graph.nearest_function(c, _functions(s, d)).select("comment_id", "enclosing")
+    return graph.nearest_function(c, _functions(s, d, "repo", "path", "func_name", "start_line", "end_line")).select("comment_id", "enclosing")
 
 
 def pattern_files(s, d):
-    return textops.patterns(_functions(s, d))
+    return textops.patterns(_functions(s, d, "repo", "path", "func_name", "key_statements", "code_snippet"))
 
 
 def content_hash(s, d):
@@ -351,14 +355,14 @@ def upsert_merge(s, d):
 
 
 def stale_nodes(s, d):
-    f = _files(s, d)
+    f = _files(s, d, "file_id", "last_modified", "extracted_at")
     return history.stale(f.select("file_id", "last_modified"), f.select("file_id", F.col("extracted_at").alias("generated_at")), ["file_id"]).select("file_id")
 
 
 def claim_confidence(s, d):
-    f = _files(s, d).select("repo", "path", F.explode("jsdoc").alias("name", "v"))
+    f = _files(s, d, "repo", "path", "jsdoc").select("repo", "path", F.explode("jsdoc").alias("name", "v"))
     claims = f.select("repo", "path", "name", F.col("v.description").alias("text")).where("text IS NOT NULL")
-    return textops.claim_confidence(claims, _functions(s, d).select("repo", "path", F.col("func_name").alias("known")), ["repo", "path"])
+    return textops.claim_confidence(claims, _functions(s, d, "repo", "path", "func_name").select("repo", "path", F.col("func_name").alias("known")), ["repo", "path"])
 
 
 def token_cost(s, d):
@@ -370,7 +374,7 @@ def target_counts(s, d):
 
 
 def deprecations(s, d):
-    e = _files(s, d).select("repo", "path", F.explode("jsdoc").alias("name", "v"))
+    e = _files(s, d, "repo", "path", "jsdoc").select("repo", "path", F.explode("jsdoc").alias("name", "v"))
     return e.where("v.deprecated IS NOT NULL").select("repo", "path", "name", F.col("v.deprecated").alias("note"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -35,14 +37,16 @@ def local_session(cpus: int | str = 8, name: str = "loregraph", **extra: str) ->
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
-    ``spark.checkpoint.dir`` wins when the cluster names one; only where it is unset (tests,
-    local runs) a temporary folder is made.
+    ``spark.checkpoint.dir`` wins when the cluster names one; only in a local session where it is unset a
+    temporary folder is made. On a cluster that would be a folder of one machine: an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not re.match(r"local(?:\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     target = named or os.path.join(tempfile.gettempdir(), "loregraph-checkpoints")
     sc.setCheckpointDir(target)
     return target

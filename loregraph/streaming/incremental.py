@@ -9,7 +9,7 @@ from loregraph.operators.history import changed, upsert
 
 
 class State:
-    """Versions of a table under one folder; a pointer file names the one in force, so a reader never sees half of one."""
+    """Versions of a table under one folder; the last one that was written whole is in force, so a reader never sees half of one."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -36,7 +36,9 @@ class State:
 
 def refresh(state: State, batch: DataFrame, key: str, text: str, version: int) -> None:
     """Set what changed in ``batch`` over the state. A batch that comes again writes the same version again."""
-    before = state.read() if (state.version() or -1) < version else (state.spark.read.parquet(f"{state.folder}/v{version - 1}") if version > 0 else None)
+    now = state.version()
+    at = now if now is None or now < version else version - 1 if version > 0 else None  # a batch that comes again starts from what was before it
+    before = None if at is None else state.spark.read.parquet(f"{state.folder}/v{at}")
     if before is None:
         new = batch.dropDuplicates([key])
         from loregraph.functions.text import content_hash

@@ -124,9 +124,9 @@ def test_pattern_guard_and_targets(spark):
         search.grep(f, "a**")
     sym = spark.createDataFrame([("r", "src/b.ts", "go", "go", "src/a.ts")], "repo string, path string, local_name string, symbol_name string, source_file string")
     calls = spark.createDataFrame([("r", "src/b.ts:x", "src/a.ts:go")], "repo string, src string, dst string")
-    plan = targets.parse_targets('```json\n{"targets": [{"type": "file", "path": "src/a.ts"}, {"type": "grep", "pattern": "FETCH", "scope": "src/"}, {"type": "importers", "of": "go"}, {"type": "callers", "of": "src/a.ts:go"}, {"type": "function", "name": "go"}]}\n```')
+    plan = targets.parse_targets('```json\n{"targets": [{"type": "file", "path": "src/a.ts"}, {"type": "grep", "pattern": "FETCH", "scope": "src/"}, {"type": "importers", "of": "go"}, {"type": "callers", "of": "src/a.ts:go"}, {"type": "function", "name": "go", "in": "src/a.ts"}]}\n```')
     assert sorted((r.ord, r.path) for r in targets.resolve(plan, f, sym, calls).collect()) == [(0, "src/a.ts"), (1, "src/a.ts"), (2, "src/b.ts"), (3, "src/b.ts"), (4, "src/a.ts")]
-    for bad in ('{"targets": [{"type": "file"}]}', '{"x": 1}', '{"targets": [{"type": "callers", "of": "go"}]}'):
+    for bad in ('{"targets": [{"type": "file"}]}', '{"targets": [{"type": "function", "name": "go"}]}', '{"x": 1}', '{"targets": [{"type": "callers", "of": "go"}]}'):
         with pytest.raises(ValueError):
             targets.parse_targets(bad)
 
@@ -135,3 +135,57 @@ def test_markers_and_comments(spark):
     df = spark.createDataFrame([(1, "a(); // plain one\n// todo: fix it */\nconst u = 'http://x.y';\nTODO no comment\n/* HACK */"), (2, None)], "id long, t string")
     assert [(r.n, r.marker, r.note) for r in textops.markers(df, ["id"], "t").collect()] == [(2, "TODO", "fix it"), (5, "HACK", "")]
     assert [(r.n, r.comment) for r in textops.inline_comments(df, ["id"], "t").collect()] == [(1, "plain one"), (2, "todo: fix it */")]
+
+
+def test_function_target_is_looked_up_in_its_file(spark):
+    f = spark.createDataFrame([("r", "a.ts", "go", "go()"), ("r", "b.ts", "go", "go(x)")], "repo string, path string, func_name string, signature string")
+    plan = targets.parse_targets('{"targets": [{"type": "function", "name": "go", "in": "b.ts"}]}')
+    none = spark.createDataFrame([], "repo string, path string, symbol_name string, source_file string")
+    calls = spark.createDataFrame([], "repo string, src string, dst string")
+    assert [(r.path, r.detail) for r in targets.resolve(plan, f, none, calls).collect()] == [("b.ts", "go(x)")]
+
+
+def test_kept_index_reads_its_buckets_only(spark, tmp_path):
+    rows = [("export", f"token{i}", "r", f"p{i % 7}.ts") for i in range(300)] + [("module", "cache", "r", "src"), ("export", "cache", "r", "p1.ts")]
+    index = spark.createDataFrame(rows, "kind string, token string, repo string, path string")
+    folder = str(tmp_path / "index")
+    search.write_index(index, folder, 16)
+    got = search.read_index(spark, folder, "where is the cache for 12?", 16)
+    assert sorted(map(tuple, got.collect())) == [("export", "cache", "r", "p1.ts"), ("module", "cache", "r", "src")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert search.read_index(spark, folder, "the and of", 16).count() == 0
+
+
+def test_index_of_a_question_is_the_index_filtered(spark):
+    s = "array<struct<line int, text string, category string>>"
+    f = spark.createDataFrame([("r", "a.ts", "loadCache", True, [(1, "if (status === 404) {", "condition"), (2, "const ttl = cacheSeconds;", "config")]), ("r", "b.ts", "other", True, None)], f"repo string, path string, func_name string, is_exported boolean, key_statements {s}")
+    modules = spark.createDataFrame([("r", "src/cache"), ("r", "src/door")], "repo string, module string")
+    q = "cache 404 door"
+    whole = search.keyword_index(f, modules).where(F.col("token").isin("cache", "404", "door"))
+    assert sorted(map(tuple, search.keyword_index(f, modules, question=q).collect())) == sorted(map(tuple, whole.collect())) != []
+
+
+def test_fuzzy_takes_blocks_beyond_a_few(spark, monkeypatch):
+    files = spark.createDataFrame([(f"src/m{i}/file{i}.ts",) for i in range(12)], "path string")
+    queries = spark.createDataFrame([(f"src/m{i}/fle{i}.ts",) for i in range(12)], "query string")
+    rows = lambda: sorted(map(tuple, search.fuzzy(queries, files, 1).select("query", "path", "score").collect()))
+    few = rows()
+    monkeypatch.setattr(search, "FEW", 3)
+    assert rows() == few and len(few) == 12
+
+
+def test_latest_reads_only_what_is_asked_for(spark, tmp_path):
+    from loregraph.sources.tables import latest
+
+    spark.createDataFrame([(1, "a", "x", 1), (1, "b", "y", 2), (2, None, None, None), (None, "c", "z", 1)], "id long, v string, w string, t long").write.parquet(str(tmp_path / "t"))
+    got = latest(spark.read.parquet(str(tmp_path / "t")), "id", "t", ["v"])
+    assert got.columns == ["v"] and sorted(str(r.v) for r in got.collect()) == ["None", "b", "c"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,v:string,t:bigint>" in plan
+
+
+def test_comments_find_their_function_across_blocks(spark):
+    f = spark.createDataFrame([("r", "p", "outer", 1, 300), ("r", "p", "inner", 70, 75), ("r", "p", "none", None, None), ("r", "p", "odd", 9, 3)], "repo string, path string, func_name string, start_line int, end_line int")
+    c = spark.createDataFrame([(1, "r", "p", 70), (2, "r", "p", 301), (3, "r", "p", None), (4, "r", "p", 300)], "id int, repo string, path string, line int")
+    assert sorted((r.id, r.enclosing) for r in graph.nearest_function(c, f).collect()) == [(1, "outer"), (2, None), (3, None), (4, "outer")]

@@ -76,3 +76,28 @@ def test_streaming_refresh(spark, tmp_path):
         write(rows)
         follow(spark.readStream.schema("path string, content string").json(src), state, str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.path, r.content) for r in state.read().collect()) == [("a", "2"), ("b", "1"), ("c", "1")] and state.version() == 1
+
+
+def test_a_batch_that_comes_again_starts_from_what_was_before(spark, tmp_path):
+    from loregraph.streaming.incremental import State, refresh
+
+    state = State(spark, str(tmp_path / "state"))
+    rows = lambda *x: spark.createDataFrame(list(x), "path string, content string")
+    refresh(state, rows(("a", "1"), ("b", "1")), "path", "content", 0)
+    refresh(state, rows(("a", "2")), "path", "content", 0)  # batch 0 again, with other rows: nothing of its first run stays
+    assert sorted((r.path, r.content) for r in state.read().collect()) == [("a", "2")]
+    refresh(state, rows(("c", "1")), "path", "content", 1)
+    refresh(state, rows(("d", "1")), "path", "content", 1)
+    assert sorted(r.path for r in state.read().collect()) == ["a", "d"] and state.version() == 1
+
+
+def test_a_cluster_names_its_checkpoint_folder():
+    from types import SimpleNamespace as N
+
+    from loregraph.session import ensure_checkpoint_dir
+
+    conf = N(get=lambda k, d=None: None)
+    none = N(isDefined=lambda: False)
+    sc = N(master="spark://host:7077", getConf=lambda: conf, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(N(sparkContext=sc, conf=conf))
