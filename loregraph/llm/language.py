@@ -84,10 +84,13 @@ class Characters:
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(codes, letters, signs of a script without blanks) of a text's characters."""
         at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        for x in np.unique(at[self.code[at] < 0]):
-            c = plain(chr(x))
-            self.code[x], self.letter[x], self.sign[x] = self.codes.get(c, 0), c.isalpha() or c in "'’", c in (_HAN, _KATA)
-        return self.code[at], self.letter[at], self.sign[at]
+        code = self.code[at]
+        if code.min(initial=0) < 0:
+            for x in np.unique(at[code < 0]):
+                c = plain(chr(x))
+                self.code[x], self.letter[x], self.sign[x] = self.codes.get(c, 0), c.isalpha() or c in "'’", c in (_HAN, _KATA)
+            code = self.code[at]
+        return code, self.letter[at], self.sign[at]
 
 
 def bare(text: str) -> str:
@@ -224,8 +227,12 @@ def _allowed(text: str, source: bool, tokens: list[tuple[int, int]]) -> np.ndarr
     return ok
 
 
+#: What every match of _CODE_TOKEN holds.
+_MAY = re.compile(r"[`(\[@#\d<>{\]}=;|\\/_]|\w\.\w|\w-\w+-\w|[a-z][A-Z]")
+
+
 def code_tokens(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _CODE_TOKEN.finditer(text)]
+    return [m.span() for m in _CODE_TOKEN.finditer(text)] if _MAY.search(text) else []
 
 
 #: Scores of _allowed's values.
