@@ -2,7 +2,7 @@
 
 Spellings are read into forms: a person's or organisation's words, folded to plain lower-case letters, in
 alphabetical order. Equal forms are one entity. Forms within one edit of each other (a letter added, lost,
-changed, or two neighbours swapped) are found by a pigeonhole segment join: each form is cut into K + 1
+changed, or two neighbours swapped), or two in one long word, are found by a pigeonhole segment join: each form is cut into K + 1
 segments, of which K edits leave at least one intact; substrings of the other form at the positions where
 the segment can have moved to are looked up in an inverted index of segments, and what meets is verified
 with a banded edit distance. Spellings that hold less than the name (initials, log-ins, abbreviations) join
@@ -19,12 +19,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loregraph.operators.orphans import hot_keys
 from loregraph.session import cut
 
 #: Edits that segments are cut for: a swap of neighbours is two edits of the banded distance.
 K = 2
 #: Shorter forms have no typing errors: on them an edit makes another name.
 LEAST = 6
+#: Letters of a word in which two edits are a typing error too, where all other words of the name are equal. On
+#: shorter ones they make other names (alexander, alexandra).
+LONG = 10
+#: A segment, or an entity, that has more than this share of all rows is split into SALTS parts.
+HOT, SALTS = 0.001, 16
 
 # What is written where nobody's name is known.
 NOBODY = frozenset("none null nil nan na unknown anonymous anon nobody noname no-name admin administrator root user users guest default test tester system author no-author undefined unset todo tbd someone somebody person me x xxx - ? . noreply no-reply".split())
@@ -196,8 +202,32 @@ def one_edit(a: Column, b: Column) -> Column:
     return ((d >= 0) & (d <= 1)) | ((d == 2) & (F.length(a) == F.length(b)) & swapped(a, b))
 
 
+def two_edits(a: Column, b: Column) -> Column:
+    """Whether two names are within two edits, both in one word of LONG letters or more."""
+    d = F.levenshtein(a, b, K)
+    x, y = F.split(a, " "), F.split(b, " ")
+    own, other = F.array_except(x, y), F.array_except(y, x)
+    one = (F.size(x) == F.size(y)) & (F.size(own) == 1) & (F.size(other) == 1)
+    return (d == 2) & one & (F.length(F.get(own, F.lit(0))) >= LONG) & (F.length(F.get(other, F.lit(0))) >= LONG)
+
+
+def split_join(index: DataFrame, asked: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``index`` and ``asked`` joined on ``keys``; rows of ``index`` under a hot key are split by a hash of ``by``.
+
+    Hot keys come from a sketch of frequent items, 1/HOT at most, so their list is broadcast; ``asked`` is
+    repeated for each part of them, and only of them.
+    """
+    key = F.concat_ws("\n", *[F.col(k).cast("string") for k in keys])
+    index, asked = index.withColumn("_key", key), asked.withColumn("_key", key)
+    hot = F.broadcast(hot_keys(index.select("_key"), "_key", HOT).withColumn("_hot", F.lit(True)))
+    index = index.join(hot, "_key", "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot", "_key")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    asked = asked.join(hot, "_key", "left").withColumn("_part", F.explode(parts)).drop("_hot", "_key")
+    return asked.join(index, [*keys, "_part"]).drop("_part")
+
+
 def near(forms: DataFrame) -> DataFrame:
-    """(repo, a, b) with a < b: distinct forms (repo, form) of one repository within one edit.
+    """(repo, a, b) with a < b: distinct forms (repo, form) of one repository within one edit, or two in one long word.
 
     A form of two words is also looked up with its words turned round, as an error in a first letter can
     change their order.
@@ -205,8 +235,9 @@ def near(forms: DataFrame) -> DataFrame:
     words = F.split("form", " ")
     turned = F.when(F.size(words) == 2, F.concat_ws(" ", F.element_at(words, 2), F.element_at(words, 1)))
     asked = forms.select("repo", "form", F.explode(F.array_compact(F.array(F.col("form"), turned))).alias("probe"))
-    met = probes(asked).join(segments(forms), ["repo", "size", "no", "part"]).where(F.col("asked") != F.col("form"))
-    pairs = met.where(one_edit(F.col("probe"), F.col("form"))).select("repo", F.least("asked", "form").alias("a"), F.greatest("asked", "form").alias("b"))
+    met = split_join(segments(forms), probes(asked), ["repo", "size", "no", "part"], "form").where(F.col("asked") != F.col("form"))
+    close = one_edit(F.col("probe"), F.col("form")) | two_edits(F.col("probe"), F.col("form"))
+    pairs = met.where(close).select("repo", F.least("asked", "form").alias("a"), F.greatest("asked", "form").alias("b"))
     return pairs.distinct()
 
 
@@ -219,19 +250,22 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("repo", F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select("repo", F.col("b").alias("node"), F.col("a").alias("other")))
     both = cut(both.where(F.col("node") != F.col("other")).distinct())
     label = cut(both.groupBy("repo", "node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
+    none = F.lit(None).cast("string")
     while True:
-        told = both.join(label.select("repo", F.col("node").alias("other"), F.col("label").alias("theirs")), ["repo", "other"]).groupBy("repo", "node").agg(F.min("theirs").alias("theirs"))
-        spread = label.join(told, ["repo", "node"]).select("repo", "node", F.least("label", "theirs").alias("label"), F.col("label").alias("was"))
-        roots = label.select("repo", F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = cut(spread.join(roots, ["repo", "label"], "left").select("repo", "node", F.least("label", F.coalesce("root", "label")).alias("label"), "was"))
-        changed = jumped.where(F.col("label") != F.col("was")).limit(1).count()
-        label = jumped.drop("was")
-        if not changed:
+        told = both.join(label.withColumnRenamed("node", "other"), ["repo", "other"]).select("repo", "node", "label", none.alias("was"))
+        jumped = label.join(label.select("repo", F.col("node").alias("label"), F.col("label").alias("root")), ["repo", "label"]).select("repo", "node", F.col("root").alias("label"), none.alias("was"))
+        kept = label.withColumn("was", F.col("label"))
+        new = cut(kept.unionByName(told).unionByName(jumped).groupBy("repo", "node").agg(F.min("label").alias("label"), F.max("was").alias("was")))
+        label = new.drop("was")
+        if new.where(F.col("label") != F.col("was")).isEmpty():
             return label
 
 
 def entities(names: DataFrame) -> DataFrame:
-    """(repo, author, entity) of each spelling (repo, author) that names somebody.
+    """(repo, author, entity, route) of each spelling (repo, author) that names somebody.
+
+    ``route`` tells what joins it to its entity: its form, an edit, a short given name, an initial, a log-in, an
+    abbreviation; or that it stands alone, as what it says could be none or several.
 
     Null and blank spellings and placeholders have no entity. Spellings count as they stand: case and
     blanks make different ones. Repeated rows count once; without rows there are no entities.
@@ -260,12 +294,15 @@ def entities(names: DataFrame) -> DataFrame:
     weak = rows.where(F.size("forms") != 1).select("repo", "author", F.explode(asks).alias("ask"))
     answered = weak.join(offered, ["repo", "ask"], "left").groupBy("repo", "author").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("ask").alias("ask"))
     alone = F.concat(F.lit("? "), F.regexp_replace(F.regexp_replace("ask", "^[IL]:", ""), " ", ""))
-    joined = answered.select("repo", "author", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(alone).alias("entity"))
-    return labelled.select("repo", "author", "entity").unionByName(joined)
+    kind = F.substring("ask", 1, 2)
+    route = F.when(kind == "F:", "nickname").when(kind == "I:", "initial").when(kind == "L:", "login").otherwise("abbreviation")
+    joined = answered.select("repo", "author", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(alone).alias("entity"), F.when(F.col("least") == F.col("most"), route).otherwise("alone").alias("route"))
+    edited = F.when(F.col("entity") != F.col("form"), "edit").otherwise("form").alias("route")
+    return labelled.select("repo", "author", "entity", edited).unionByName(joined)
 
 
 def same(ents: DataFrame) -> DataFrame:
     """(repo, author_a, author_b): the complete pairs of spellings within an entity, author_a < author_b."""
     a = ents.select("repo", "entity", F.col("author").alias("author_a"))
     b = ents.select("repo", "entity", F.col("author").alias("author_b"))
-    return a.join(b, ["repo", "entity"]).where(F.col("author_a") < F.col("author_b")).select("repo", "author_a", "author_b").distinct()
+    return split_join(b, a, ["repo", "entity"], "author_b").where(F.col("author_a") < F.col("author_b")).select("repo", "author_a", "author_b").distinct()

@@ -10,7 +10,7 @@ from loregraph.sources.tables import table
 
 
 def p2_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """(repo, author, entity): each spelling with the entity it denotes in its repository."""
+    """(repo, author, entity, route): each spelling with the entity it denotes in its repository, and what joins it to that."""
     return names.entities(names.spellings(table(spark, folder, "commits"), table(spark, folder, "file_nodes")))
 
 
@@ -19,13 +19,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.same(p2_entities(spark, folder))
 
 
+def p2_routes(spark: SparkSession, folder: str) -> DataFrame:
+    """(route, spellings): how many spellings each route joins to their entity."""
+    return p2_entities(spark, folder).groupBy("route").agg(F.count(F.lit(1)).alias("spellings"))
+
+
 def p2_spellings(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct spellings per repository, from all three fields."""
     s = names.spellings(table(spark, folder, "commits"), table(spark, folder, "file_nodes"))
     return s.groupBy("repo").agg(F.count(F.lit(1)).alias("spellings"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p2_spellings": p2_spellings}
+QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p2_routes": p2_routes, "p2_spellings": p2_spellings}
 ORACLES = {
     "p2_spellings": """SELECT repo, count(DISTINCT a) AS spellings FROM (SELECT repo, author AS a FROM commits UNION ALL SELECT repo, unnest(authors) FROM file_nodes
         UNION ALL SELECT repo, primary_author FROM file_nodes) s WHERE repo IS NOT NULL AND trim(a) <> '' GROUP BY repo"""

@@ -18,6 +18,20 @@ def osa(a, b):
     return d[-1][-1]
 
 
+def lev(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        d = _row(d, i, x, b)
+    return d[-1]
+
+
+def _row(above, i, x, b):
+    out = [i]
+    for j, y in enumerate(b, 1):
+        out.append(min(above[j] + 1, out[-1] + 1, above[j - 1] + (x != y)))
+    return out
+
+
 @pytest.mark.parametrize("raw", [None, "", "  ", "no author", "nobody@localhost", "(none)", "unknown", "root", "admin", "???", "-"])
 def test_nobody(raw):
     assert names.read(raw) is None
@@ -50,12 +64,27 @@ def test_segment_join_against_brute_force(spark):
     for s in base:
         i = rng.randrange(len(s) - 1)
         forms |= {s[:i] + s[i + 1 :], s[:i] + "x" + s[i:], s[:i] + "y" + s[i + 1 :], s[:i] + s[i + 1] + s[i] + s[i + 2 :], s[:i] + "zz" + s[i + 1 :]}
-    want = {(a, b) for a, b in combinations(sorted(forms), 2) if min(len(a), len(b)) >= names.LEAST and osa(a, b) <= 1}
+    want = {(a, b) for a, b in combinations(sorted(forms), 2) if min(len(a), len(b)) >= names.LEAST and (osa(a, b) <= 1 or min(len(a), len(b)) >= names.LONG and lev(a, b) == 2)}
     df = spark.createDataFrame([("r", f) for f in forms], "repo string, form string")
     got = {(r.a, r.b) for r in names.near(df).collect()}
     assert got == want and len(want) > 200
 
 
+def test_two_edits_in_a_long_word(spark):
+    pairs = [("christopher mirovic", "christofer mirovic", True), ("alexander torvenko", "alexandra torvenko", False), ("kelshinezova maria", "kelshimezoba maria", True), ("kelshinezova maria", "kelshinesova mario", False), ("kelshinezova maria", "kelshimezoba mario", False)]
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", names.two_edits(df.a, df.b).alias("got")).collect())
+    rows = spark.createDataFrame([("r", x) for p in pairs for x in p[:2]], "repo string, form string").distinct()
+    assert {(r.a, r.b) for r in names.near(rows).collect()} == {("christofer mirovic", "christopher mirovic"), ("kelshimezoba maria", "kelshinezova maria")} | {("kelshimezoba maria", "kelshimezoba mario")}
+
+
+def test_hot_keys_are_split_and_lose_nothing(spark):
+    index = spark.createDataFrame([("r", f"f{i}") for i in range(300)] + [("s", "f1"), (None, "f2")], "repo string, form string")
+    asked = spark.createDataFrame([("r", f"q{i}") for i in range(5)] + [("s", "q1"), ("t", "q2"), (None, "q3")], "repo string, q string")
+    got = names.split_join(index, asked, ["repo"], "form").collect()
+    assert sorted((r.q, r.form) for r in got if r.repo == "r") == sorted((f"q{i}", f"f{k}") for i in range(5) for k in range(300)) and len(got) == 1501
+
+
 def test_components_of_a_long_chain(spark):
     edges = [("r", f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("r", "x", "y"), ("s", "n000", "n001"), ("r", "x", "y"), ("r", "z", "z")]
     got = {(r.repo, r.node): r.label for r in names.components(spark.createDataFrame(edges, "repo string, a string, b string")).collect()}
