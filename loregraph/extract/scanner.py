@@ -78,21 +78,32 @@ def snippet(lines: list[str], start: int, marks: list[int]) -> str:
     return "\n".join([*lines[:limit], f"// ... ({rest} more lines" + (f", {unseen} more key statements" if unseen else "") + ")"])
 
 
+def expression(text: str) -> str:
+    """What is left of a line up to the end of the expression that it starts with."""
+    depth = 0
+    for i, c in enumerate(text):
+        depth += (c in "([{") - (c in ")]}")
+        if depth < 0 or depth == 0 and c in ";,":
+            return text[:i].strip()
+    return text.strip()
+
+
 def key_statements(lines: list[str], first: int) -> list[dict]:
     """One category at most for each line; the first rule that applies wins."""
     rules = (
         ("config", r"\b(?:const|let|var)\s+\w+\s*(?::[^=]+)?=\s*-?[\d_.]+\s*;|(?:\?\?|\|\|)\s*\d"), ("url", r"['\"`](?:https?|wss?)://"), ("math", r"Math\.pow|\*\*"), ("condition", r"\bif\s*\(.*status.*\b\d{3}\b"),
         ("error", r"\bcatch\s*\(\s*\w"), ("loop", r"^\s*(?:\}\s*)?(?:for|while)\s*(?:await\s*)?\("), ("async-pattern", r"Promise\.(?:all|allSettled|race|any)\s*\("),
     )
+    loop = dict(rules)["loop"]
     out, depth, loops = [], 0, []
     for i, s in enumerate(lines):
         bare = re.sub(r"^\s*(?://|\*).*", "", s)
         kind = next((k for k, p in rules if re.search(p, bare)), None)
-        if kind == "loop":
-            loops.append(depth)
-        elif kind is None and loops and re.search(r"\bawait\b", bare):
+        if kind is None and loops and (m := re.search(r"\bawait\b", bare)):
             kind = "async-pattern"
-            s = f"[sequential] {s.strip()}"
+            s = f"[sequential] {expression(bare[m.start() :])}"
+        if re.search(loop, bare):
+            loops.append(depth)
         if kind:
             out.append({"line": first + i, "text": s.strip(), "category": kind})
         depth += bare.count("{") - bare.count("}")
@@ -112,6 +123,29 @@ def status_of(condition: str | None, action: str) -> int | None:
     return next((code for code, p in _STATUS if re.search(p, t, re.I)), None)
 
 
+def last_statement(bare: str, body: int) -> int:
+    """Line, from 0, on which the last statement of a function's body starts."""
+    at, end, start = body + 1, closing(bare, body) - 1, -1
+    while at < end:
+        lead = re.match(r"[\s;]*", bare[at:end]).end()
+        at += lead
+        if at >= end:
+            break
+        start = at
+        while at < end:  # a statement ends with its semicolon, or with a block that nothing goes on from
+            c = bare[at]
+            if c == ";":
+                at += 1
+                break
+            if c in "([{":
+                at = closing(bare, at)
+                if c == "{" and not re.match(r"\s*(?:else\b|catch\b|finally\b|while\b|[.,;)=?:&|+*/<-])", bare[at:end]):
+                    break
+                continue
+            at += 1
+    return bare.count("\n", 0, start) if start >= 0 else -1
+
+
 def error_paths(code: str, first: int) -> list[dict]:
     """Guards, early returns, throws and catches of a function, by line; a guard that returns is in both of its kinds."""
     bare = blank(code)
@@ -121,6 +155,14 @@ def error_paths(code: str, first: int) -> list[dict]:
         at = end + len(bare[end:]) - len(bare[end:].lstrip())
         stop = closing(bare, at) if bare[at : at + 1] == "{" else (bare.find(";", at) + 1 or len(bare))
         ifs.append((m.start(), at, stop, code[m.end() : end - 1].strip()))
+    labels = []  # (start, end) of what a case label covers, and the label
+    for m in re.finditer(r"\bswitch\s*\(", bare):
+        at = bare.find("{", closing(bare, m.end() - 1))
+        stop = closing(bare, at) if at >= 0 else len(bare)
+        own = [x for x in re.finditer(r"\b(?:case\b([^:]*)|default\s*):", bare[at:stop]) if bare.count("{", at, at + x.start()) - bare.count("}", at, at + x.start()) == 1]
+        for x, after in zip(own, [*(y.start() for y in own[1:]), stop - at], strict=False):
+            if x[1] is not None:
+                labels.append((at + x.end(), at + after, "case " + code[at + x.start(1) : at + x.end(1)].strip()))
     catches = [(m.start(), m.end() - 1, closing(bare, m.end() - 1), (m[1] or "").strip("() ")) for m in re.finditer(r"\bcatch\s*(\([^)]*\))?\s*\{", bare)]
     body = bare.find("{")
     depth_at = lambda i: bare.count("{", body + 1, i) - bare.count("}", body + 1, i)
@@ -131,7 +173,7 @@ def error_paths(code: str, first: int) -> list[dict]:
 
     def why(at: int) -> str | None:
         own = [x for x in ifs if x[1] <= at < x[2]]
-        return max(own)[3] if own else None
+        return max(own)[3] if own else max(((a, label) for a, b, label in labels if a <= at < b), default=(0, None))[1]
 
     def statement(at: int) -> str:
         end = bare.find(";", at)
@@ -143,7 +185,10 @@ def error_paths(code: str, first: int) -> list[dict]:
             tops = bare.count(";", body, at)
             if tops < MANY and re.search(r"\b(?:return|throw)\b", bare[then:stop]):
                 add("guard", at, cond, statement(then + re.search(r"\b(?:return|throw)\b", bare[then:stop]).start()))
+    last = last_statement(bare, body)
     for m in re.finditer(r"\breturn\b", bare):
+        if code.count("\n", 0, m.start()) == last:
+            continue
         inside = why(m.start()) or next((f"catch ({c[3]})" for c in catches if c[1] <= m.start() < c[2]), None)
         if inside:
             add("early-return", m.start(), inside, statement(m.start()))

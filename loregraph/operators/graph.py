@@ -198,6 +198,27 @@ def nearest_function(comments: DataFrame, functions: DataFrame) -> DataFrame:
     return comments.join(hit, keys, "left")
 
 
+def used_symbols(symbols: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(repo, source_file, path, symbols): what each dependent uses of a file, sorted; of ``names`` (repo, symbol_name) only, if given."""
+    own = symbols if names is None else symbols.join(names.select("repo", "symbol_name").distinct(), ["repo", "symbol_name"], "left_semi")
+    return own.groupBy("repo", "source_file", "path").agg(F.array_sort(F.collect_set("symbol_name")).alias("symbols"))
+
+
+def affected(functions: DataFrame, imports: DataFrame) -> DataFrame:
+    """(repo, src, func_name, dst, uses): functions of a dependent whose code names a function that the imported file exports.
+
+    The code is what the table holds of it, which may be its head alone.
+    """
+    words = functions.select("repo", F.col("path").alias("src"), "func_name", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("code_snippet", F.lit("")), F.lit(r"\w+"), F.lit(0)))).alias("uses"))
+    exported = functions.where("is_exported").select("repo", F.col("path").alias("dst"), F.col("func_name").alias("uses")).distinct()
+    return imports.select("repo", "src", "dst").distinct().join(exported, ["repo", "dst"]).join(words, ["repo", "src", "uses"]).select("repo", "src", "func_name", "dst", "uses").distinct()
+
+
+def uses_exports(functions: DataFrame, imports: DataFrame) -> DataFrame:
+    """(repo, src, dst): the import edges over which code of the dependent names an export."""
+    return affected(functions, imports).select("repo", "src", "dst").distinct()
+
+
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -178,5 +178,31 @@ def relationships(fan: DataFrame, functions: DataFrame) -> DataFrame:
     return fan.where(F.col("fan_in") >= HIGH_FAN_IN).join(e, ["repo", "path"], "left").select("repo", "path", F.col("fan_in").alias("consumers"), F.coalesce("exports", F.array().cast("array<string>")).alias("exports"))
 
 
+def imported_names(symbols: DataFrame, k: int = 5) -> DataFrame:
+    """(repo, path, names): the first ``k`` names, by alphabet, that each file (repo, path, source_file, symbol_name) imports.
+
+    Where an import names nothing, the name of the file it comes from stands in.
+    """
+    name = F.coalesce(F.nullif("symbol_name", F.lit("")), F.regexp_replace(basename(F.col("source_file")), r"\.(?:ts|js|tsx|jsx)$", ""))
+    each = symbols.select("repo", "path", name.alias("name")).where("name IS NOT NULL").distinct()
+    w = Window.partitionBy("repo", "path").orderBy("name")
+    few = each.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    return few.groupBy("repo", "path").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def described_entry_points(entries: DataFrame, prose: DataFrame, names: DataFrame) -> DataFrame:
+    """(repo, path, description) of entry points: their summary, else what they use, else that they are one."""
+    own = entries.select("repo", "path").join(prose.select("repo", "path", "summary"), ["repo", "path"], "left").join(names, ["repo", "path"], "left")
+    uses = F.when(F.size("names") > 0, F.concat(F.lit("uses: "), F.array_join("names", ", ")))
+    return own.select("repo", "path", F.coalesce("summary", uses, F.lit("entry point")).alias("description"))
+
+
+def connections(entries: DataFrame, names: DataFrame, related: DataFrame) -> DataFrame:
+    """(repo, path, names, consumers): entry points with what they import, then other files of ``relationships`` with what they export."""
+    first = entries.select("repo", "path").join(names, ["repo", "path"]).select("repo", "path", "names", F.lit(None).cast("long").alias("consumers"))
+    rest = related.join(first.select("repo", "path"), ["repo", "path"], "left_anti").select("repo", "path", F.col("exports").alias("names"), F.col("consumers").cast("long").alias("consumers"))
+    return first.unionByName(rest)
+
+
 def config_files(files: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return files.where(basename(F.col("path")).isin(*CONFIG_FILES, *(extra or []))).select("repo", "path").distinct()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +79,28 @@ def patterns(functions: DataFrame) -> DataFrame:
     return g.where((F.col("pattern") != "cache") | (F.col("_n") >= 2)).drop("_n")
 
 
+def error_paths(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(*keys, line, type, condition, action, http_status) of the error paths in a text with one function's code: a narrow map.
+
+    Null and blank texts, and those without a body, have none.
+    """
+    from loregraph.extract import scanner
+
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", line int, type string, condition string, action string, http_status int"
+    asked = rows.select(*keys, F.col(text).alias("_text")).where(F.col("_text").rlike(r"\b(?:if|throw|catch|return)\b"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, got = [], []
+            for i, t in enumerate(pdf["_text"]):
+                for e in scanner.error_paths(t, 1):
+                    at.append(i), got.append((e["line"], e["type"], e["condition"], e["action"], e["http_status"]))
+            own = pd.DataFrame(got, columns=["line", "type", "condition", "action", "http_status"]).astype({"http_status": "Int64"})
+            yield pd.concat([pdf[keys].iloc[at].reset_index(drop=True), own], axis=1)
+
+    return asked.mapInPandas(run, schema)
+
+
 def claim_confidence(claims: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, name, found, asked, confidence): of the identifiers of a claim, how many are names of its file.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loregraph.functions import paths as P
 from loregraph.functions import text as T
-from loregraph.operators import graph, history, search, textops
+from loregraph.operators import graph, history, nodes, search, textops
 from loregraph.sources.tables import latest, table
 
 NOW = "2025-07-01 00:00:00"
@@ -238,11 +238,9 @@ def suffix_join(s, d):
 
 
 def affected_functions(s, d):
-    """Functions of dependents whose code names a function that the imported file exports."""
+    """Functions of dependents whose code names a function that the imported file exports; code is what the table holds, the head of a longer one."""
     f = _functions(s, d, "repo", "path", "func_name", "is_exported", "code_snippet")
-    words = f.select("repo", F.col("path").alias("src"), "func_name", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("code_snippet", F.lit("")), F.lit(r"\w+"), F.lit(0)))).alias("word"))
-    exp = f.where("is_exported").select("repo", F.col("path").alias("dst"), F.col("func_name").alias("word")).distinct()
-    return _imports(s, d).select("repo", "src", "dst").distinct().join(exp, ["repo", "dst"]).join(words, ["repo", "src", "word"]).select("repo", "src", "func_name", F.col("word").alias("uses")).distinct()
+    return graph.affected(f, _imports(s, d)).select("repo", "src", "func_name", "uses").distinct()
 
 
 def entry_points(s, d):
@@ -257,6 +255,65 @@ def relationships(s, d):
     return search.relationships(_fan(s, d), _functions(s, d, "repo", "path", "func_name", "is_exported")).withColumn("exports", F.array_join("exports", "|"))
 
 
+def used_symbols(s, d):
+    return graph.used_symbols(_symbols(s, d)).withColumn("symbols", F.array_join("symbols", "|"))
+
+
+def uses_exports(s, d):
+    """Import edges over which code of the dependent names an export."""
+    f = _functions(s, d, "repo", "path", "func_name", "is_exported", "code_snippet")
+    return graph.uses_exports(f, _imports(s, d))
+
+
+def metadata(s, d):
+    """Dependents, dependencies and days of each file together."""
+    ages = graph.ages(_files(s, d, "repo", "path", "created_at", "last_modified"), NOW).groupBy("repo", "path").agg(F.max("age_days").alias("age_days"), F.min("recency_days").alias("recency_days"))
+    return _fan(s, d).join(ages, ["repo", "path"])
+
+
+def imported_names(s, d):
+    return search.imported_names(_symbols(s, d)).withColumn("names", F.array_join("names", "|"))
+
+
+def entry_descriptions(s, d):
+    entries = search.entry_points(_fan(s, d), _functions(s, d, "repo", "path", "func_name", "is_exported"))
+    return search.described_entry_points(entries, _prose(s, d), search.imported_names(_symbols(s, d)))
+
+
+def connections(s, d):
+    f, fan = _functions(s, d, "repo", "path", "func_name", "is_exported"), _fan(s, d)
+    c = search.connections(search.entry_points(fan, f), search.imported_names(_symbols(s, d)), search.relationships(fan, f))
+    return c.withColumn("names", F.array_join("names", "|"))
+
+
+def module_exports(s, d):
+    """Modules with what the files in them export."""
+    f = _functions(s, d, "repo", "path", "func_name", "is_exported").where("is_exported").select("repo", F.col("path").alias("src"), "func_name")
+    e = graph.parent_edges(_paths(s, d), _modules(s, d)).join(f, ["repo", "src"])
+    return e.groupBy("repo", F.col("dst").alias("module")).agg(F.array_join(F.array_sort(F.collect_set("func_name")), "|").alias("exports"))
+
+
+def expanded_functions(s, d):
+    """Which functions are shown whole; error statements stand for error paths."""
+    f = _functions(s, d, "repo", "path", "func_name", "key_statements", "code_snippet")
+    own = f.withColumn("error_paths", F.filter("key_statements", lambda x: x["category"] == "error"))
+    return nodes.expanded(own, _fan(s, d), textops.patterns(f))
+
+
+def throws(s, d):
+    """The throw statements of all functions' code, with the condition that they stand under and its status."""
+    return _error_paths(s, d).where("type = 'throw'").select("func_id", "line", "condition", "http_status")
+
+
+def early_returns(s, d):
+    """The returns under a condition of all functions' code."""
+    return _error_paths(s, d).where("type = 'early-return'").select("func_id", "line", "condition", "action")
+
+
+def _error_paths(s, d):
+    return textops.error_paths(_functions(s, d, "func_id", "code_snippet"), ["func_id"], "code_snippet")
+
+
 def config_files(s, d):
     both = _paths(s, d).select("repo", "path").unionByName(table(s, d, "package_json").select("repo", "path"))
     return search.config_files(both)
@@ -394,6 +451,7 @@ _NAMES = """keyword_index prefilter_topk candidate_lines tokenize_docs summary_w
 contains_edges parent_edges imports_resolved import_counts imported_by test_files impact_bfs impact_by_depth tests_for_impact context_bundle function_consumers cross_calls called_by importers
 reexport_chain suffix_join affected_functions entry_points overview_tree relationships config_files fuzzy_paths fuzzy_match similar_paths grep_union http_status errors_by_status inline_comments
 markers key_statement_lines comment_functions pattern_files content_hash changed_files upsert_merge stale_nodes claim_confidence token_cost target_counts deprecations manifest_dependencies part_index
+used_symbols uses_exports metadata imported_names entry_descriptions connections module_exports expanded_functions throws early_returns
 fuzzy_paths_every fuzzy_match_every similar_paths_every impact_bfs_every impact_by_depth_every tests_for_impact_every context_bundle_every grep_union_every tokenize_docs_every""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 

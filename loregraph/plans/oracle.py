@@ -100,6 +100,8 @@ CATEGORY = r"""CASE WHEN regexp_matches(line, '(?:const|let|var)\s+\w+\s*(?::[^=
 LINES = "ln AS (SELECT func_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS line FROM (SELECT func_id, string_split(code_snippet, chr(10)) AS l FROM fn) x)"
 IDS = f"list_filter(regexp_extract_all(t, '\\b[a-zA-Z_][a-zA-Z0-9_]*\\b'), lambda w: length(w) > 2 AND NOT list_contains({_list(COMMON_WORDS)}, lower(w)) AND CASE WHEN regexp_matches(w, '[a-z].*[A-Z]|[A-Z].*[a-z]') THEN true WHEN w = upper(w) THEN false ELSE contains(w, '_') OR length(w) >= 4 END)"
 WORDS = "ws AS (SELECT repo, path AS src, func_name, unnest(list_distinct(regexp_extract_all(coalesce(code_snippet, ''), '\\w+'))) AS word FROM fn)"
+NAMES = r"nm AS (SELECT repo, path, list_sort(list(DISTINCT coalesce(nullif(symbol_name, ''), regexp_replace(regexp_extract(source_file, '([^/]*)$', 1), '\.(ts|js|tsx|jsx)$', ''))))[1:5] AS names FROM sy GROUP BY repo, path)"
+ENTRY = "ex AS (SELECT repo, path, count(DISTINCT func_name) AS n FROM fn WHERE is_exported GROUP BY repo, path), en AS (SELECT fan.repo, fan.path FROM fan LEFT JOIN ex USING (repo, path) WHERE fan_in = 0 AND coalesce(n, 0) <= 1)"
 GREP = r"(?i)promise\.all|session"
 
 ORACLES = {
@@ -157,4 +159,14 @@ ORACLES = {
     "deprecations": f"WITH {FL}, js AS (SELECT repo, path, unnest(map_entries(jsdoc)) AS e FROM fl) SELECT repo, path, e.key AS name, e.value.deprecated AS note FROM js WHERE e.value.deprecated IS NOT NULL",
     "manifest_dependencies": "SELECT name, count(*) AS packages FROM (SELECT DISTINCT package_id, e.key AS name, e.value AS version FROM (SELECT package_id, unnest(map_entries(dependencies)) AS e FROM package_json) x) y GROUP BY name",
     "part_index": "SELECT DISTINCT * FROM (SELECT 'export' AS kind, unnest(string_split(lower(p_name), ' ')) AS token, p_partkey FROM part UNION ALL SELECT 'pattern', lower(p_type), p_partkey FROM part) x",
+    "used_symbols": f"WITH {SYM} SELECT repo, source_file, path, coalesce(string_agg(DISTINCT symbol_name, '|' ORDER BY symbol_name), '') AS symbols FROM sy GROUP BY repo, source_file, path",
+    "uses_exports": f"WITH {FN}, {IM}, {WORDS}, e AS (SELECT DISTINCT repo, path AS dst, func_name AS word FROM fn WHERE is_exported) SELECT DISTINCT im.repo, im.src, im.dst FROM im JOIN e ON e.repo = im.repo AND e.dst = im.dst JOIN ws ON ws.repo = im.repo AND ws.src = im.src AND ws.word = e.word",
+    "metadata": f"WITH {FL}, {FAN}, a AS (SELECT repo, path, max(CAST(floor((1751328000000 - epoch_ms(created_at)) / 86400000.0) AS BIGINT)) AS age_days, min(CAST(floor((1751328000000 - epoch_ms(last_modified)) / 86400000.0) AS BIGINT)) AS recency_days FROM fl GROUP BY repo, path) SELECT * FROM fan JOIN a USING (repo, path)",
+    "imported_names": f"WITH {SYM}, {NAMES} SELECT repo, path, array_to_string(names, '|') AS names FROM nm",
+    "entry_descriptions": f"WITH {FN}, {FL}, {FAN}, {PROSE}, {SYM}, {NAMES}, {ENTRY} SELECT en.repo, en.path, coalesce(pr.summary, 'uses: ' || array_to_string(nm.names, ', '), 'entry point') AS description FROM en LEFT JOIN pr USING (repo, path) LEFT JOIN nm USING (repo, path)",
+    "connections": f"WITH {FN}, {FL}, {FAN}, {SYM}, {NAMES}, {ENTRY}, f AS (SELECT en.repo, en.path, nm.names FROM en JOIN nm USING (repo, path)), x AS (SELECT repo, path, string_agg(DISTINCT func_name, '|' ORDER BY func_name) AS x FROM fn WHERE is_exported GROUP BY repo, path) SELECT repo, path, array_to_string(names, '|') AS names, CAST(NULL AS BIGINT) AS consumers FROM f UNION ALL SELECT fan.repo, fan.path, coalesce(x.x, ''), fan.fan_in FROM fan LEFT JOIN x USING (repo, path) WHERE fan_in >= 5 AND NOT EXISTS (SELECT 1 FROM f WHERE f.repo = fan.repo AND f.path = fan.path)",
+    "module_exports": f"WITH {FN}, {MO}, {PARENT} SELECT pa.repo, pa.dst AS module, string_agg(DISTINCT fn.func_name, '|' ORDER BY fn.func_name) AS exports FROM pa JOIN fn ON fn.repo = pa.repo AND fn.path = pa.src WHERE fn.is_exported GROUP BY pa.repo, pa.dst",
+    "expanded_functions": f"WITH {FN}, {FL}, {FAN}, {PAT}, n AS (SELECT repo, path, count(*) AS n FROM fn GROUP BY repo, path), h AS (SELECT DISTINCT repo, path, regexp_extract(location, '([^:]*)$', 1) AS func_name FROM pt WHERE contains(location, ':')) SELECT fn.repo, fn.path, fn.func_name, n.n < 5 OR coalesce(fan.fan_in, 0) > 5 OR h.func_name IS NOT NULL OR coalesce(len(list_filter(key_statements, lambda x: x.category = 'error')), 0) > 0 AS expanded FROM fn JOIN n USING (repo, path) LEFT JOIN fan USING (repo, path) LEFT JOIN h ON h.repo = fn.repo AND h.path = fn.path AND h.func_name = fn.func_name",
+    "throws": f"WITH {FN}, {LINES}, t AS (SELECT func_id, CAST(n AS INT) AS line, regexp_extract(line, '\\bif \\((.*)\\) \\{{ throw ', 1) AS c, regexp_extract(line, '\\b(throw .*);', 1) AS act FROM ln WHERE regexp_matches(line, '\\bthrow ')) SELECT func_id, line, CASE WHEN c <> '' THEN c END AS condition, http_status FROM (SELECT *, c || ' ' || act AS t FROM t) x, LATERAL (SELECT {STATUS} AS http_status) y",
+    "early_returns": f"WITH {FN}, {LINES}, last AS (SELECT func_id, max(n) AS m FROM ln WHERE regexp_matches(line, '^  [^ /}}]') GROUP BY func_id) SELECT ln.func_id, CAST(n AS INT) AS line, regexp_extract(line, '\\bif \\((.*)\\) \\{{ (return\\b[^;]*);', 1) AS condition, regexp_extract(line, '\\bif \\((.*)\\) \\{{ (return\\b[^;]*);', 2) AS action FROM ln JOIN last ON last.func_id = ln.func_id AND n < m WHERE regexp_matches(line, '\\bif \\(.*\\) \\{{ return\\b')",
 }

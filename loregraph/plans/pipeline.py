@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loregraph.operators import graph
+from loregraph.operators import graph, textops
 from loregraph.prose import model
 from loregraph.sources import files
 
@@ -61,6 +61,26 @@ def cross_calls(docs: DataFrame, hops: int = 5) -> DataFrame:
     return hit.where("name IS NOT NULL").select("repo", F.col("node_id").alias("src"), F.concat_ws(":", "target", "name").alias("dst"), F.when(F.col("local") != F.col("name"), F.col("local")).alias("imported_as")).distinct()
 
 
+def patterns(docs: DataFrame) -> DataFrame:
+    """(repo, path, pattern, location) of retry, cache, builder and singleton in documents.
+
+    Top-level functions as in ``textops.patterns``; a file with an interface named after a cache has a cache,
+    and a class with two methods or more that give ``this`` back is a builder.
+    """
+    f = docs.select("repo", "path", F.explode("functions").alias("f")).select("repo", "path", F.col("f.name").alias("func_name"), "f.owner", "f.code_snippet", "f.key_statements")
+    cache = docs.where(F.exists("interfaces", lambda i: F.lower(i["name"]).contains("cache"))).select("repo", "path", F.lit("cache").alias("pattern"), F.col("path").alias("location"))
+    chained = f.where("owner IS NOT NULL").where(F.col("code_snippet").contains("return this")).groupBy("repo", "path", "owner").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
+    builder = chained.select("repo", "path", F.lit("builder").alias("pattern"), F.concat_ws(":", "path", "owner").alias("location"))
+    return textops.patterns(f.where("owner IS NULL")).unionByName(cache).unionByName(builder).distinct()
+
+
+def with_patterns(docs: DataFrame) -> DataFrame:
+    """The documents with their ``patterns`` in the order retry, cache, builder, singleton; null where there are none."""
+    rank = F.array_position(F.array(*map(F.lit, ("retry", "cache", "builder", "singleton"))), F.col("pattern"))
+    own = patterns(docs).groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "location", "pattern"))).alias("_p"))
+    return docs.join(own.select("repo", "path", F.transform("_p", lambda p: F.struct(p["pattern"].alias("pattern"), p["location"].alias("location"))).alias("patterns")), ["repo", "path"], "left")
+
+
 def prose(docs: DataFrame, text_model: model.TextModel = model.offline, concurrency: int | None = 5) -> DataFrame:
     """Text of all files, then of all modules from their files' summaries."""
     exports = F.transform("exports", lambda e: e["name"])

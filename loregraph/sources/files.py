@@ -30,11 +30,26 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
+def _unseen(spark: SparkSession, base: str) -> list[str]:
+    """The directories under ``base`` that file sources pass by, as their names start with an underscore (``__tests__``)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    out, todo = [], [path(base)]
+    while todo:
+        for s in fs.listStatus(todo.pop()):
+            name = s.getPath().getName()
+            if s.isDirectory() and not name.startswith(".") and name != "node_modules":
+                todo.append(s.getPath())
+                if name.startswith("_"):
+                    out.append(s.getPath().toString())
+    return out
+
+
 def find_files(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = EXCLUDE, suffix: str = ".ts") -> DataFrame:
     """(path, content) of the files under ``root``: no dot directories, at least one ``include``, no ``exclude``."""
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(base)
-    rel = raw.withColumn("path", F.regexp_replace("path", "^.*?" + re.escape(base) + "/", ""))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load([base, *_unseen(spark, base)])
+    rel = raw.withColumn("path", F.regexp_replace("path", "^.*?" + re.escape(re.sub(r"^\w+:/+", "/", base)) + "/", ""))
     wanted = F.col("path").rlike("|".join(map(glob_pattern, include))) & ~F.col("path").rlike(r"(?:^|/)\.[^/]+/|(?:^|/)node_modules/")
     if exclude:
         wanted &= ~F.col("path").rlike("|".join(map(glob_pattern, exclude)))
@@ -59,18 +74,39 @@ def extract(files: DataFrame) -> DataFrame:
 
 def readmes(spark: SparkSession, root: str) -> DataFrame:
     """(directory, text) of each ``readme.md`` in any case."""
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where(F.lower(F.substring_index("path", "/", -1)) == "readme.md")
+    base = re.sub(r"^\w+:/+", "/", root.rstrip("/"))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root.rstrip("/")).where(F.lower(F.substring_index("path", "/", -1)) == "readme.md")
     rel = F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "")
     return raw.select(F.when(rel.contains("/"), F.regexp_extract(rel, "^(.*)/[^/]*$", 1)).otherwise(".").alias("directory"), F.decode("content", "UTF-8").alias("text"))
 
 
 def git_log(spark: SparkSession, dump: str) -> DataFrame:
-    """(hash, author, commit_date, message, path, ord) of one dump: ``git log --name-only --format='%x1e%H%x1f%ae%x1f%aI%x1f%s'``."""
+    """(hash, author, commit_date, message, path, ord, old_path) of one dump: ``git log --name-status -M --format='%x1e%H%x1f%ae%x1f%aI%x1f%s'``.
+
+    With ``--name-only`` instead, lines are paths alone and no file is renamed. ``old_path`` is what a renamed file was called before.
+    """
     raw = spark.read.option("lineSep", "\x1e").text(dump).where(F.trim("value") != "")
     part = F.split(F.regexp_extract("value", r"^([^\n]*)", 1), "\x1f")
     names = F.filter(F.split(F.regexp_extract("value", r"^[^\n]*\n([\s\S]*)$", 1), "\n"), lambda x: x != "")
-    return raw.select(part[0].alias("hash"), part[1].alias("author"), part[2].try_cast("timestamp").alias("commit_date"), part[3].alias("message"), F.posexplode(names).alias("ord", "path"))
+    each = raw.select(part[0].alias("hash"), part[1].alias("author"), part[2].try_cast("timestamp").alias("commit_date"), part[3].alias("message"), F.posexplode(names).alias("ord", "_line"))
+    cell = F.split("_line", "\t")
+    return each.withColumn("path", F.element_at(cell, -1)).withColumn("old_path", F.when(F.col("_line").rlike("^[RC]\\d*\t"), F.get(cell, F.lit(1)))).drop("_line")
+
+
+def follow_renames(log: DataFrame, hops: int = 10) -> DataFrame:
+    """The log with each file under its newest path: renames later than the commit are followed, ``hops`` of them at most.
+
+    What a file was called is worked out on the renames alone, which are few; the log is joined with them once.
+    """
+    moved = log.where("old_path IS NOT NULL").select(F.col("old_path").alias("path"), F.col("commit_date").alias("at"), F.col("path").alias("new")).distinct()
+    ends = moved.withColumn("_last", F.col("at"))
+    step = moved.select(F.col("path").alias("new"), F.col("at").alias("_then"), F.col("new").alias("_to"))
+    for _ in range(hops - 1):
+        met = ends.join(step, "new", "left").groupBy("path", "at", "new", "_last").agg(F.min_by("_to", F.when(F.col("_then") > F.col("_last"), F.col("_then"))).alias("_to"), F.min(F.when(F.col("_then") > F.col("_last"), F.col("_then"))).alias("_then"))
+        ends = met.select("path", "at", F.when(F.col("_then").isNotNull(), F.col("_to")).otherwise(F.col("new")).alias("new"), F.coalesce("_then", "_last").alias("_last"))
+    life = ends.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("_moves"))  # the renames away from one path
+    after = lambda c: F.filter("_moves", lambda m: m["at"] > c)
+    return log.join(life, "path", "left").withColumn("path", F.coalesce(F.get(after(F.col("commit_date")), F.lit(0))["new"], F.col("path"))).select(*log.columns)
 
 
 def read_json(path: str) -> dict | None:
@@ -104,6 +140,25 @@ def compiler_config(path: str) -> dict:
     return {k: raw[k] for k, ok in kinds.items() if k in raw and ok(raw[k])}
 
 
+def tool_config(path: str) -> dict:
+    """The sections of a tool's settings file that are right throughout: one with any field of a wrong type is dropped whole."""
+    raw = read_json(path) or {}
+    text, number = lambda v: isinstance(v, str), lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    kinds = {
+        "extraction": {"include": _strings, "exclude": _strings},
+        "llm": {"provider": text, "model": text, "temperature": number, "maxTokens": number},
+        "output": {"directory": text, "format": text},
+    }
+    good = lambda v, fields: isinstance(v, dict) and all(fields[k](x) for k, x in v.items() if k in fields)
+    return {k: raw[k] for k, fields in kinds.items() if k in raw and good(raw[k], fields)}
+
+
+def all_configs(root: str) -> dict:
+    """The package manifest, compiler config and tool config of a project, each {} where there is none."""
+    base = root.rstrip("/")
+    return {"package": package_manifest(f"{base}/package.json"), "compiler": compiler_config(f"{base}/tsconfig.json"), "tool": tool_config(f"{base}/loregraph.json")}
+
+
 def settings(path: str, defaults: dict) -> dict:
     """User settings over defaults, section by section: a missing file gives the defaults, a bad one an error."""
     try:
