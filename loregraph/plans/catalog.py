@@ -91,12 +91,7 @@ def candidate_lines(s, d):
 
 
 def tokenize_docs(s, d):
-    t = T.query_tokens(F.col("text"))
-    return table(s, d, "documents").select("doc_id", F.size(t).cast("long").alias("tokens"), F.array_join(F.slice(t, 1, 5), " ").alias("first_tokens"))
-
-
-def tokenize_docs_every(s, d):
-    """All tokens of each document; ``tokenize_docs`` shows the first five, as in its SQL."""
+    """All search tokens of each document, in order of first appearance."""
     t = T.query_tokens(F.col("text"))
     return table(s, d, "documents").select("doc_id", F.size(t).cast("long").alias("tokens"), F.array_join(t, " ").alias("all_tokens"))
 
@@ -352,12 +347,14 @@ def similar_paths_every(s, d):
 
 
 def grep_union(s, d):
-    return search.grep(_functions(s, d, "repo", "path", "func_name", "signature", "code_snippet", "is_exported", "key_statements"), GREP, "src/").groupBy("repo", "path", "kind").agg(F.count(F.lit(1)).alias("matches"))
+    f = _functions(s, d, "repo", "path", "func_name", "signature", "code_snippet", "is_exported", "key_statements")
+    return search.grep(f, GREP).groupBy("repo", "path", "kind").agg(F.count(F.lit(1)).alias("matches"))
 
 
-def grep_union_every(s, d):
-    """All paths; ``grep_union`` searches one scope, as in its SQL."""
-    return search.grep(_functions(s, d, "repo", "path", "func_name", "signature", "code_snippet", "is_exported", "key_statements"), GREP).groupBy("repo", "path", "kind").agg(F.count(F.lit(1)).alias("matches"))
+def grep_scoped(s, d):
+    """The same under one path, which the pattern may be limited to."""
+    f = _functions(s, d, "repo", "path", "func_name", "signature", "code_snippet", "is_exported", "key_statements")
+    return search.grep(f, GREP, "src/").groupBy("repo", "path", "kind").agg(F.count(F.lit(1)).alias("matches"))
 
 
 def http_status(s, d):
@@ -452,7 +449,7 @@ contains_edges parent_edges imports_resolved import_counts imported_by test_file
 reexport_chain suffix_join affected_functions entry_points overview_tree relationships config_files fuzzy_paths fuzzy_match similar_paths grep_union http_status errors_by_status inline_comments
 markers key_statement_lines comment_functions pattern_files content_hash changed_files upsert_merge stale_nodes claim_confidence token_cost target_counts deprecations manifest_dependencies part_index
 used_symbols uses_exports metadata imported_names entry_descriptions connections module_exports expanded_functions throws early_returns
-fuzzy_paths_every fuzzy_match_every similar_paths_every impact_bfs_every impact_by_depth_every tests_for_impact_every context_bundle_every grep_union_every tokenize_docs_every""".split()
+fuzzy_paths_every fuzzy_match_every similar_paths_every impact_bfs_every impact_by_depth_every tests_for_impact_every context_bundle_every grep_scoped""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 from loregraph.plans.oracle import ORACLES  # noqa: E402, F401

@@ -87,13 +87,19 @@ TOP = f"""{INDEX}, {FAN}, {PARENT}, tk AS (SELECT DISTINCT unnest({tokens("'" +
    UNION ALL SELECT repo, path, 1, ['high fanIn'], false FROM hi WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.repo = hi.repo AND al.path = hi.path)),
  tp AS (SELECT repo, path, CAST(score AS BIGINT) AS score, reasons, is_module FROM ev ORDER BY score DESC, repo, path LIMIT 25)"""
 ASKED = "(VALUES ('src/cahce/badge.ts'), ('src/mail/types.ts'), ('src/search/acount-index.ts')) q(query)"
-FUZZY = f"""{FL}, pr AS (SELECT query, path, string_split(lower(query), '/') AS q, string_split(lower(path), '/') AS c FROM (SELECT DISTINCT path FROM fl) f, {ASKED}),
+EVERY = "(SELECT DISTINCT path AS query FROM file_nodes WHERE file_id % 50 = 0) q"
+
+
+def fuzzy(asked: str) -> str:
+    return f"""{FL}, pr AS (SELECT query, path, string_split(lower(query), '/') AS q, string_split(lower(path), '/') AS c FROM (SELECT DISTINCT path FROM fl) f, {asked}),
  sc AS (SELECT query, path,
    CASE WHEN q[-1] = c[-1] THEN 50 ELSE greatest(0, 20 - 2 * levenshtein(q[-1], c[-1])) END
    + coalesce(list_sum(list_transform(range(1, least(len(q), len(c))), lambda i: CASE WHEN q[i] = c[i] THEN 10 WHEN starts_with(q[i], c[i]) OR starts_with(c[i], q[i]) THEN 5 - abs(length(q[i]) - length(c[i])) ELSE -levenshtein(q[i], c[i]) END)), 0)
    - 5 * abs(len(q) - len(c))
    - CASE WHEN len(q) >= 3 AND len(c) >= 3 AND q[2] <> c[2] AND q[-1] = c[-1] AND NOT (starts_with(q[2], c[2]) OR starts_with(c[2], q[2]) OR (levenshtein(q[2], c[2]) <= 2 AND levenshtein(q[2], c[2]) <= least(length(q[2]), length(c[2])) / 3)) THEN 30 ELSE 0 END AS score FROM pr),
  fz AS (SELECT query, path, CAST(score AS BIGINT) AS score, floor(least(greatest(score / 70.0, 0.0), 1.0) * 100 + 0.5) / 100 AS confidence, row_number() OVER (PARTITION BY query ORDER BY score DESC, path) AS rank FROM sc WHERE score > 0)"""
+
+
 NOTE = r"(?i)(?://|/\*).*?\b(TODO|FIXME|HACK|XXX):?\s*(.*)$"
 CATEGORY = r"""CASE WHEN regexp_matches(line, '(?:const|let|var)\s+\w+\s*(?::[^=]+)?=\s*-?\d+(?:\.\d+)?\s*;?\s*$|(?:\?\?|\|\|)\s*\d+') THEN 'config' WHEN regexp_matches(line, '[''"`](?:https?|wss?)://') THEN 'url' WHEN regexp_matches(line, 'Math\.pow|\*\*') THEN 'math'
  WHEN regexp_matches(line, '\bif\s*\(.*status.*\b\d{3}\b') THEN 'condition' WHEN regexp_matches(line, '\bcatch\s*\(') THEN 'error' WHEN regexp_matches(line, '\b(?:for|while)\s*\(') THEN 'loop' WHEN regexp_matches(line, 'Promise\.(?:all|allSettled|race|any)\s*\(') THEN 'async-pattern' END"""
@@ -104,11 +110,18 @@ NAMES = r"nm AS (SELECT repo, path, list_sort(list(DISTINCT coalesce(nullif(symb
 ENTRY = "ex AS (SELECT repo, path, count(DISTINCT func_name) AS n FROM fn WHERE is_exported GROUP BY repo, path), en AS (SELECT fan.repo, fan.path FROM fan LEFT JOIN ex USING (repo, path) WHERE fan_in = 0 AND coalesce(n, 0) <= 1)"
 GREP = r"(?i)promise\.all|session"
 
+def similar(asked: str) -> str:
+    return f"WITH {FL}, pr AS (SELECT query, path, list_filter(string_split(query, '/'), lambda x: x <> '') AS q, list_filter(string_split(path, '/'), lambda x: x <> '') AS c FROM (SELECT DISTINCT path FROM fl) f, {asked}), sc AS (SELECT query, path, CASE WHEN q[-1] = c[-1] THEN 3 ELSE 0 END + coalesce(list_sum(list_transform(q[:-2], lambda d: CASE WHEN list_contains(c[:-2], d) THEN 2 ELSE 0 END + len(list_filter(c[:-2], lambda x: starts_with(x, d) AND x <> d)))), 0) AS score FROM pr) SELECT query, path, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, path) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 3"
+
+
+SEEDS = "seed AS (SELECT DISTINCT repo, path AS seed, path AS node FROM file_nodes WHERE file_id % 50 = 0)"
+BFS_EVERY = f"{SEEDS}, adj AS (SELECT DISTINCT repo, dst AS node, src AS nxt FROM im WHERE src <> dst), walk AS (SELECT repo, seed, node, 0 AS depth FROM seed UNION SELECT a.repo, w.seed, a.nxt, w.depth + 1 FROM walk w JOIN adj a ON a.repo = w.repo AND a.node = w.node WHERE w.depth < 10), bfs AS (SELECT repo, seed, node, min(depth) AS depth FROM walk GROUP BY ALL HAVING min(depth) > 0)"
+
 ORACLES = {
     "keyword_index": f"WITH {INDEX} SELECT * FROM ix",
     "prefilter_topk": f"WITH {TOP} SELECT * FROM tp",
     "candidate_lines": f"WITH {TOP} SELECT tp.repo, tp.path, tp.path || ': ' || coalesce(pr.summary, '(no summary)') || ' [Matched: ' || array_to_string(reasons, ', ') || ']' AS line FROM tp LEFT JOIN pr USING (repo, path)",
-    "tokenize_docs": f"WITH t AS (SELECT doc_id, {tokens('text')} AS w FROM documents), u AS (SELECT doc_id, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]) AS w FROM t) SELECT doc_id, CASE WHEN w IS NULL THEN NULL ELSE CAST(len(w) AS BIGINT) END AS tokens, array_to_string(w[1:5], ' ') AS first_tokens FROM u",
+    "tokenize_docs": f"WITH t AS (SELECT doc_id, {tokens('text')} AS w FROM documents), u AS (SELECT doc_id, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]) AS w FROM t) SELECT doc_id, CASE WHEN w IS NULL THEN NULL ELSE CAST(len(w) AS BIGINT) END AS tokens, array_to_string(w, ' ') AS all_tokens FROM u",
     "summary_words_top": f"SELECT word, count(*) AS n FROM (SELECT unnest({summary('text')}) AS word FROM documents WHERE lower(lang) IN ('en', 'eng')) x GROUP BY word ORDER BY n DESC, word LIMIT 50",
     "statement_keywords": f"WITH {FN}, st AS (SELECT unnest(key_statements) AS s FROM fn) SELECT keyword, count(*) AS n FROM (SELECT unnest({keywords('s.text')}) AS keyword FROM st) x GROUP BY keyword",
     "fan_in_out": f"WITH {FL}, {FAN} SELECT * FROM fan",
@@ -138,10 +151,11 @@ ORACLES = {
     "overview_tree": f"WITH {FL} SELECT repo, {DIR} AS directory, string_agg(name, '|' ORDER BY name) AS names FROM (SELECT DISTINCT repo, path, regexp_extract(path, '([^/]*)$', 1) AS name FROM fl) f GROUP BY ALL",
     "relationships": f"WITH {FN}, {FL}, {FAN}, e AS (SELECT repo, path, string_agg(DISTINCT func_name, '|' ORDER BY func_name) AS x FROM fn WHERE is_exported GROUP BY repo, path) SELECT fan.repo, fan.path, fan_in AS consumers, coalesce(x, '') AS exports FROM fan LEFT JOIN e USING (repo, path) WHERE fan_in >= 5",
     "config_files": f"SELECT DISTINCT repo, path FROM (SELECT repo, path FROM file_nodes UNION ALL SELECT repo, path FROM package_json) x WHERE regexp_extract(path, '([^/]*)$', 1) IN {_in(CONFIG_FILES)}",
-    "fuzzy_paths": f"WITH {FUZZY} SELECT query, path, score, confidence, rank FROM fz WHERE rank <= 3",
-    "fuzzy_match": f"WITH {FUZZY}, b AS (SELECT query, list(path ORDER BY rank) AS p, list(confidence ORDER BY rank) AS c FROM fz WHERE rank <= 5 GROUP BY query) SELECT query, CASE WHEN c[1] >= 0.4 THEN p[1] END AS matched, array_to_string(CASE WHEN c[1] >= 0.7 THEN p[2:4] ELSE p[1:3] END, '|') AS alternatives FROM b",
-    "similar_paths": f"WITH {FL}, pr AS (SELECT query, path, list_filter(string_split(query, '/'), lambda x: x <> '') AS q, list_filter(string_split(path, '/'), lambda x: x <> '') AS c FROM (SELECT DISTINCT path FROM fl) f, {ASKED}), sc AS (SELECT query, path, CASE WHEN q[-1] = c[-1] THEN 3 ELSE 0 END + coalesce(list_sum(list_transform(q[:-2], lambda d: CASE WHEN list_contains(c[:-2], d) THEN 2 ELSE 0 END + len(list_filter(c[:-2], lambda x: starts_with(x, d) AND x <> d)))), 0) AS score FROM pr) SELECT query, path, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, path) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 3",
-    "grep_union": f"WITH {FN}, g AS (SELECT * FROM fn WHERE starts_with(path, 'src/')), m AS (SELECT repo, path, 'function' AS kind FROM g WHERE regexp_matches(func_name, '{GREP}') UNION ALL SELECT repo, path, 'signature' FROM g WHERE regexp_matches(signature, '{GREP}') UNION ALL SELECT repo, path, 'code' FROM g WHERE regexp_matches(code_snippet, '{GREP}') UNION ALL SELECT repo, path, 'export' FROM g WHERE is_exported AND regexp_matches(func_name, '{GREP}') UNION ALL SELECT repo, path, 'keyStatement' FROM (SELECT repo, path, unnest(key_statements) AS s FROM g) x WHERE regexp_matches(s.text, '{GREP}')) SELECT repo, path, kind, count(*) AS matches FROM m GROUP BY ALL",
+    "fuzzy_paths": f"WITH {fuzzy(ASKED)} SELECT query, path, score, confidence, rank FROM fz WHERE rank <= 3",
+    "fuzzy_match": f"WITH {fuzzy(ASKED)}, b AS (SELECT query, list(path ORDER BY rank) AS p, list(confidence ORDER BY rank) AS c FROM fz WHERE rank <= 5 GROUP BY query) SELECT query, CASE WHEN c[1] >= 0.4 THEN p[1] END AS matched, array_to_string(CASE WHEN c[1] >= 0.7 THEN p[2:4] ELSE p[1:3] END, '|') AS alternatives FROM b",
+    "similar_paths": similar(ASKED),
+    "grep_union": f"WITH {FN}, g AS (SELECT * FROM fn), m AS (SELECT repo, path, 'function' AS kind FROM g WHERE regexp_matches(func_name, '{GREP}') UNION ALL SELECT repo, path, 'signature' FROM g WHERE regexp_matches(signature, '{GREP}') UNION ALL SELECT repo, path, 'code' FROM g WHERE regexp_matches(code_snippet, '{GREP}') UNION ALL SELECT repo, path, 'export' FROM g WHERE is_exported AND regexp_matches(func_name, '{GREP}') UNION ALL SELECT repo, path, 'keyStatement' FROM (SELECT repo, path, unnest(key_statements) AS s FROM g) x WHERE regexp_matches(s.text, '{GREP}')) SELECT repo, path, kind, count(*) AS matches FROM m GROUP BY ALL",
+    "grep_scoped": f"WITH {FN}, g AS (SELECT * FROM fn WHERE starts_with(path, 'src/')), m AS (SELECT repo, path, 'function' AS kind FROM g WHERE regexp_matches(func_name, '{GREP}') UNION ALL SELECT repo, path, 'signature' FROM g WHERE regexp_matches(signature, '{GREP}') UNION ALL SELECT repo, path, 'code' FROM g WHERE regexp_matches(code_snippet, '{GREP}') UNION ALL SELECT repo, path, 'export' FROM g WHERE is_exported AND regexp_matches(func_name, '{GREP}') UNION ALL SELECT repo, path, 'keyStatement' FROM (SELECT repo, path, unnest(key_statements) AS s FROM g) x WHERE regexp_matches(s.text, '{GREP}')) SELECT repo, path, kind, count(*) AS matches FROM m GROUP BY ALL",
     "http_status": f"WITH {FN}, {ERR} SELECT * FROM er",
     "errors_by_status": f"WITH {FN}, {ERR}, h(status, name) AS (VALUES {', '.join(f'({k}, {v!r})' for k, v in HTTP_STATUS.items())}) SELECT er.status, coalesce(h.name, 'HTTP ' || er.status) AS description, count(*) AS paths FROM er LEFT JOIN h USING (status) WHERE er.status IS NOT NULL GROUP BY ALL",
     "inline_comments": f"WITH {FN}, {LINES} SELECT func_id, n, regexp_extract(line, '(?:^|[^:])//\\s*(.+)', 1) AS comment FROM ln WHERE regexp_extract(line, '(?:^|[^:])//\\s*(.+)', 1) <> ''",
@@ -169,4 +183,11 @@ ORACLES = {
     "expanded_functions": f"WITH {FN}, {FL}, {FAN}, {PAT}, n AS (SELECT repo, path, count(*) AS n FROM fn GROUP BY repo, path), h AS (SELECT DISTINCT repo, path, regexp_extract(location, '([^:]*)$', 1) AS func_name FROM pt WHERE contains(location, ':')) SELECT fn.repo, fn.path, fn.func_name, n.n < 5 OR coalesce(fan.fan_in, 0) > 5 OR h.func_name IS NOT NULL OR coalesce(len(list_filter(key_statements, lambda x: x.category = 'error')), 0) > 0 AS expanded FROM fn JOIN n USING (repo, path) LEFT JOIN fan USING (repo, path) LEFT JOIN h ON h.repo = fn.repo AND h.path = fn.path AND h.func_name = fn.func_name",
     "throws": f"WITH {FN}, {LINES}, t AS (SELECT func_id, CAST(n AS INT) AS line, regexp_extract(line, '\\bif \\((.*)\\) \\{{ throw ', 1) AS c, regexp_extract(line, '\\b(throw .*);', 1) AS act FROM ln WHERE regexp_matches(line, '\\bthrow ')) SELECT func_id, line, CASE WHEN c <> '' THEN c END AS condition, http_status FROM (SELECT *, c || ' ' || act AS t FROM t) x, LATERAL (SELECT {STATUS} AS http_status) y",
     "early_returns": f"WITH {FN}, {LINES}, last AS (SELECT func_id, max(n) AS m FROM ln WHERE regexp_matches(line, '^  [^ /}}]') GROUP BY func_id) SELECT ln.func_id, CAST(n AS INT) AS line, regexp_extract(line, '\\bif \\((.*)\\) \\{{ (return\\b[^;]*);', 1) AS condition, regexp_extract(line, '\\bif \\((.*)\\) \\{{ (return\\b[^;]*);', 2) AS action FROM ln JOIN last ON last.func_id = ln.func_id AND n < m WHERE regexp_matches(line, '\\bif \\(.*\\) \\{{ return\\b')",
+    "fuzzy_paths_every": f"WITH {fuzzy(EVERY)} SELECT query, path, score, confidence, rank FROM fz WHERE rank <= 3",
+    "fuzzy_match_every": f"WITH {fuzzy(EVERY)}, b AS (SELECT query, list(path ORDER BY rank) AS p, list(confidence ORDER BY rank) AS c FROM fz WHERE rank <= 5 GROUP BY query) SELECT query, CASE WHEN c[1] >= 0.4 THEN p[1] END AS matched, array_to_string(CASE WHEN c[1] >= 0.7 THEN p[2:4] ELSE p[1:3] END, '|') AS alternatives FROM b",
+    "similar_paths_every": similar(EVERY),
+    "impact_bfs_every": f"WITH RECURSIVE {IM}, {BFS_EVERY} SELECT * FROM bfs",
+    "impact_by_depth_every": f"WITH RECURSIVE {IM}, {BFS_EVERY} SELECT repo, seed, depth, count(*) AS nodes FROM bfs GROUP BY ALL",
+    "tests_for_impact_every": f"WITH RECURSIVE {IM}, {BFS_EVERY} SELECT DISTINCT e.repo, n.seed, e.dst AS test FROM ed e JOIN (SELECT repo, seed, node FROM bfs UNION SELECT repo, seed, node FROM seed) n ON n.repo = e.repo AND n.node = e.src WHERE e.edge_type = 'testFile'",
+    "context_bundle_every": f"WITH {MO}, {PARENT}, {IM}, {SEEDS}, x AS (SELECT repo, src, dst FROM ed WHERE edge_type IN ('imports', 'parent', 'testFile') UNION ALL SELECT repo, src, dst FROM pa), k AS (SELECT repo, path AS node FROM fl UNION SELECT repo, module FROM mo), b AS (SELECT repo, seed, node, 0 AS hop FROM seed UNION ALL SELECT x.repo, s.seed, x.dst, 1 FROM x JOIN seed s ON s.repo = x.repo AND s.node = x.src) SELECT b.repo, b.seed, b.node, min(hop) AS hop FROM b WHERE EXISTS (SELECT 1 FROM k WHERE k.repo = b.repo AND k.node = b.node) GROUP BY b.repo, b.seed, b.node",
 }

@@ -37,9 +37,9 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return p5_found(spark, folder).groupBy("ref_table", "ref_period", "reason").agg(F.count(F.lit(1)).alias("orphans"))
 
 
-def p5_parts_sold(spark: SparkSession, folder: str) -> DataFrame:
-    """Integer keys: order lines whose order isn't among the orders of even-numbered customers, per month."""
-    orders = table(spark, folder, "orders").where(F.col("o_custkey") % 2 == 0)  # as in its SQL; p5_order_lines takes all orders
+def p5_open_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Integer keys: order lines whose order isn't among the finished ones, per month."""
+    orders = table(spark, folder, "orders").where("o_orderstatus = 'F'")
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     lost = orphans.integer_orphans(lines, "l_orderkey", orders, "o_orderkey")
     return lost.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("ship_month")).agg(F.count(F.lit(1)).alias("orphans"))
@@ -57,7 +57,7 @@ def p5_key_runs(spark: SparkSession, folder: str) -> DataFrame:
     return orphans.contiguous_runs(table(spark, folder, "lineitem"), "l_orderkey", block=1 << 16).select(F.col("first").alias("first_key"), (F.col("end") - 1).alias("last_key"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_parts_sold": p5_parts_sold, "p5_order_lines": p5_order_lines, "p5_key_runs": p5_key_runs}
+QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_open_lines": p5_open_lines, "p5_order_lines": p5_order_lines, "p5_key_runs": p5_key_runs}
 
 _FOUND = """
 WITH r AS (
@@ -78,8 +78,10 @@ FROM j WHERE NOT alive
 ORACLES = {
     "p5_found": _FOUND,
     "p5_report": f"SELECT ref_table, ref_period, reason, count(*) AS orphans FROM ({_FOUND}) x GROUP BY ALL",
-    "p5_parts_sold": """SELECT strftime(l_shipdate, '%Y-%m') AS ship_month, count(*) AS orphans FROM lineitem
-        WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 2 = 0 AND o_orderkey IS NOT NULL) GROUP BY 1""",
+    "p5_open_lines": """SELECT strftime(l_shipdate, '%Y-%m') AS ship_month, count(*) AS orphans FROM lineitem
+        WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey IS NOT NULL) GROUP BY 1""",
+    "p5_order_lines": """SELECT strftime(l_shipdate, '%Y-%m') AS ship_month, count(*) AS orphans FROM lineitem
+        WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL) GROUP BY 1""",
     "p5_key_runs": """WITH d AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey IS NOT NULL), g AS (SELECT k, k - row_number() OVER (ORDER BY k) AS r FROM d)
         SELECT min(k) AS first_key, max(k) AS last_key FROM g GROUP BY r""",
 }
