@@ -27,13 +27,18 @@ BUCKETS = 64
 CONFIG_FILES = ["package.json", "tsconfig.json", ".env", ".env.example", "jest.config.js", "jest.config.ts", "vitest.config.ts", "vitest.config.js", "eslint.config.js", ".eslintrc.json", ".eslintrc.js", "prettier.config.js", ".prettierrc", ".prettierrc.json", "tsup.config.ts", "tsup.config.js", "vite.config.ts", "vite.config.js", "webpack.config.js", "rollup.config.js", "babel.config.js", ".babelrc"]
 
 
+def tokens_of(spark: SparkSession, question: str) -> list[str]:
+    """A question's tokens, by the same expression that the index is looked up with."""
+    return spark.range(1, numPartitions=1).select(query_tokens(F.lit(question)).alias("t")).first().t
+
+
 def keyword_index(functions: DataFrame, modules: DataFrame, patterns: DataFrame | None = None, prose: DataFrame | None = None, question: str | None = None) -> DataFrame:
     """(kind, token, repo, path), each once: exported names with their parts, key statements, error statuses, modules, patterns and summaries.
 
     With a ``question`` only the entries of its tokens, filtered where they arise, before anything is shuffled.
     """
-    asked = None if question is None else query_tokens(F.lit(question))  # a constant, folded by the optimiser
-    wanted = (lambda t: F.lit(True)) if asked is None else (lambda t: F.array_contains(asked, F.lower(t)))
+    asked = None if question is None else tokens_of(functions.sparkSession, question)
+    wanted = (lambda t: F.lit(True)) if asked is None else (lambda t: F.lower(t).isin(asked))
     entry = lambda kind: lambda token: F.struct(F.lit(kind).alias("kind"), F.lower(token).alias("token"))
     none = F.expr("array()").cast("array<struct<kind:string,token:string>>")
     names = F.when(F.col("is_exported"), F.transform(F.concat(F.array("func_name"), F.filter(camel_parts(F.col("func_name")), lambda p: F.length(p) > 2)), entry("export"))).otherwise(none)
@@ -59,9 +64,10 @@ def write_index(index: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
 
 def read_index(spark: SparkSession, folder: str, question: str, buckets: int = BUCKETS) -> DataFrame:
     """The entries of a question's tokens in an index kept by ``write_index``: folders are pruned by bucket, row groups by token."""
-    tokens = spark.range(1).select(F.explode(query_tokens(F.lit(question))).alias("token")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).collect()
+    tokens = tokens_of(spark, question)
+    bucket = spark.createDataFrame([(t,) for t in tokens], "token string").select(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("b")).distinct()
     kept = spark.read.parquet(folder)
-    return kept.where(F.col("bucket").isin(sorted({r.bucket for r in tokens})) & F.col("token").isin([r.token for r in tokens])).drop("bucket")
+    return kept.where(F.col("bucket").isin([r.b for r in bucket.collect()]) & F.col("token").isin(tokens)).drop("bucket")
 
 
 def prefilter(spark: SparkSession, query: str, index: DataFrame, parents: DataFrame, fan: DataFrame) -> DataFrame:
@@ -86,10 +92,17 @@ def prefilter(spark: SparkSession, query: str, index: DataFrame, parents: DataFr
     return every.orderBy(F.desc("score"), "repo", "path").limit(CANDIDATES)
 
 
-def candidate_lines(candidates: DataFrame, prose: DataFrame) -> DataFrame:
-    """``path: summary [Matched: …]`` of each candidate."""
+def candidate_lines(candidates: DataFrame, prose: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """``path: summary [Uses: …] [Matched: …]`` of each candidate; uses are its imports (repo, src, dst) that are candidates too."""
     own = candidates.join(prose.select("repo", "path", "summary"), ["repo", "path"], "left")
-    return own.select("repo", "path", F.concat_ws("", "path", F.lit(": "), F.coalesce("summary", F.lit("(no summary)")), F.lit(" [Matched: "), F.array_join("reasons", ", "), F.lit("]")).alias("line"))
+    uses = F.lit("")
+    if imports is not None:
+        both = candidates.select("repo", F.col("path").alias("dst"))
+        named = imports.select("repo", F.col("src").alias("path"), "dst").join(F.broadcast(both), ["repo", "dst"], "left_semi").groupBy("repo", "path").agg(F.array_sort(F.collect_set("dst")).alias("_uses"))
+        own = own.join(named, ["repo", "path"], "left")
+        uses = F.when(F.size("_uses") > 0, F.concat(F.lit(" [Uses: "), F.array_join("_uses", ", "), F.lit("]"))).otherwise("")
+    matched = F.when(F.size("reasons") > 0, F.concat(F.lit(" [Matched: "), F.array_join(F.transform("reasons", lambda r: F.regexp_replace(r, ": ", ":")), ", "), F.lit("]"))).otherwise("")
+    return own.select("repo", "path", F.concat("path", F.lit(": "), F.coalesce("summary", F.lit("(no summary)")), uses, matched).alias("line"))
 
 
 def _ranked(queries: DataFrame, files: DataFrame, parts: Callable[[Column], Column], score: Callable[[Column, Column], Column], k: int, many: bool | None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loregraph.functions import paths as P
 from loregraph.functions import text as T
 from loregraph.operators import graph, history, nodes, search, textops
+from loregraph.session import cut
 from loregraph.sources.tables import latest, table
 
 NOW = "2025-07-01 00:00:00"
@@ -87,7 +88,7 @@ def prefilter_topk(s, d):
 
 
 def candidate_lines(s, d):
-    return search.candidate_lines(prefilter_topk(s, d), _prose(s, d))
+    return search.candidate_lines(cut(prefilter_topk(s, d)), _prose(s, d), _imports(s, d))  # 25 rows, read twice
 
 
 def tokenize_docs(s, d):

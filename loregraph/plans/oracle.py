@@ -120,7 +120,7 @@ BFS_EVERY = f"{SEEDS}, adj AS (SELECT DISTINCT repo, dst AS node, src AS nxt FRO
 ORACLES = {
     "keyword_index": f"WITH {INDEX} SELECT * FROM ix",
     "prefilter_topk": f"WITH {TOP} SELECT * FROM tp",
-    "candidate_lines": f"WITH {TOP} SELECT tp.repo, tp.path, tp.path || ': ' || coalesce(pr.summary, '(no summary)') || ' [Matched: ' || array_to_string(reasons, ', ') || ']' AS line FROM tp LEFT JOIN pr USING (repo, path)",
+    "candidate_lines": f"WITH {TOP}, us AS (SELECT im.repo, im.src AS path, string_agg(DISTINCT im.dst, ', ' ORDER BY im.dst) AS uses FROM im JOIN tp ON tp.repo = im.repo AND tp.path = im.dst GROUP BY im.repo, im.src) SELECT tp.repo, tp.path, tp.path || ': ' || coalesce(pr.summary, '(no summary)') || coalesce(' [Uses: ' || us.uses || ']', '') || CASE WHEN len(reasons) > 0 THEN ' [Matched: ' || replace(array_to_string(reasons, ', '), ': ', ':') || ']' ELSE '' END AS line FROM tp LEFT JOIN pr USING (repo, path) LEFT JOIN us USING (repo, path)",
     "tokenize_docs": f"WITH t AS (SELECT doc_id, {tokens('text')} AS w FROM documents), u AS (SELECT doc_id, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]) AS w FROM t) SELECT doc_id, CASE WHEN w IS NULL THEN NULL ELSE CAST(len(w) AS BIGINT) END AS tokens, array_to_string(w, ' ') AS all_tokens FROM u",
     "summary_words_top": f"SELECT word, count(*) AS n FROM (SELECT unnest({summary('text')}) AS word FROM documents WHERE lower(lang) IN ('en', 'eng')) x GROUP BY word ORDER BY n DESC, word LIMIT 50",
     "statement_keywords": f"WITH {FN}, st AS (SELECT unnest(key_statements) AS s FROM fn) SELECT keyword, count(*) AS n FROM (SELECT unnest({keywords('s.text')}) AS keyword FROM st) x GROUP BY keyword",
