@@ -258,14 +258,16 @@ def read_items(items: DataFrame) -> DataFrame:
 
 
 def leaked(documents: DataFrame, items: DataFrame, span: float = SPAN) -> DataFrame:
-    """(doc_id, item_id, spanned, matched, first_word, last_word) of each document with a passage of an item.
+    """(doc_id, item_id, spanned, matched, first_word, last_word, whole) of each document with a passage of an item.
+
+    ``whole`` tells whether the document holds all words of the item as they stand.
 
     ``items`` is a test set: it is read in blocks of ITEM_BLOCK words, one of which is on the driver at a time,
     and each block makes one pass over the corpus. Which wording is common is counted over all items, by Spark.
     Null and empty texts hold nothing; a document that is repeated gives repeated rows.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {items.schema['item_id'].dataType.simpleString()}, spanned int, matched int, first_word int, last_word int"
+    schema = f"doc_id {kind}, item_id {items.schema['item_id'].dataType.simpleString()}, spanned int, matched int, first_word int, last_word int, whole boolean"
     texts = documents.where(F.length("text") > 0).select("doc_id", words(F.col("text")).alias("_words"))
     parts = [_pass(texts, block, schema, span) for block in _blocks(read_items(items))]
     out = parts[0]
@@ -302,7 +304,7 @@ def _pass(texts: DataFrame, items: Items, schema: str, span: float) -> DataFrame
                 counts = own.counts[k].tolist()
                 spanned, matched, a, b = passages(hits, int(own.size[k]), counts)
                 if spanned >= span * counts[-1] and matched >= DENSE * spanned:
-                    got.append((ids[d], own.ids[k], spanned, matched, a, b))
-            yield pd.DataFrame(got, columns=["doc_id", "item_id", "spanned", "matched", "first_word", "last_word"])
+                    got.append((ids[d], own.ids[k], spanned, matched, a, b, any(p == 0 and n == own.size[k] for p, _, n in hits)))
+            yield pd.DataFrame(got, columns=["doc_id", "item_id", "spanned", "matched", "first_word", "last_word", "whole"])
 
     return texts.mapInPandas(run, schema)

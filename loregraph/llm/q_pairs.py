@@ -26,6 +26,12 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder, "signature", "code", "comment", "description").where("kept").drop("kept")
 
 
+def p4_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """(func_id, name, signature) as read from each function's code, without the words that export it."""
+    rows = pairs.parsed(table(spark, folder, "function_data"), "signature")
+    return rows.select("func_id", "name", F.regexp_replace("signature", r"^(?:export\s+)?(?:default\s+)?", "").alias("signature")).distinct()
+
+
 def p4_listings(spark: SparkSession, folder: str) -> DataFrame:
     """The functions of every document's source text with their attached comments, one row each."""
     docs = table(spark, folder, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
@@ -38,5 +44,7 @@ def p4_listings(spark: SparkSession, folder: str) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, line int, name string, signature string, code string, description string")
 
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p4_listings": p4_listings}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p4_signatures": p4_signatures, "p4_listings": p4_listings}
+ORACLES: dict[str, str] = {
+    "p4_signatures": "SELECT DISTINCT func_id, func_name AS name, trim(regexp_replace(signature, '\\s+', ' ', 'g')) AS signature FROM function_data WHERE trim(code_snippet) <> ''"
+}
