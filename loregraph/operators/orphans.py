@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Integers per range in which runs are made; also the range in which references are matched.
 BLOCK = 1 << 20
+#: Blocks whose border runs are put together at a time.
+WIDER = 1 << 10
 #: A reference key with more than this share of all references is salted; there are at most 1/HOT such keys.
 HOT = 0.002
 #: Parts into which the references of such a key are split.
@@ -64,13 +66,18 @@ def integer_runs(parents: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
 def contiguous_runs(parents: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     """(first, end) over the whole key space: runs that touch at a block border are put together.
 
-    Works on the runs that reach a border, at most two per block; all others pass by.
+    Only runs that reach a border go on, at most two per block: first inside ranges of WIDER blocks, then those
+    that reach the border of such a range, so that the last step sees two runs per WIDER * ``block`` integers.
     """
-    r = integer_runs(parents, key, block)
-    low, high = F.col("block") * block, (F.col("block") + 1) * block
-    edge = (F.col("first") == low) | (F.col("end") == high)
-    whole = runs(r.where(edge).withColumn("_all", F.lit(0)), ["_all"], "first", "end").drop("_all")
-    return r.where(~edge).select("first", "end").unionByName(whole)
+    done = None
+    r = integer_runs(parents, key, block).select("first", "end")
+    for width in (block, block * WIDER):
+        edge = (F.pmod(F.col("first"), F.lit(width)) == 0) | (F.pmod(F.col("end"), F.lit(width)) == 0)
+        inner = r.where(~edge)
+        done = inner if done is None else done.unionByName(inner)
+        by = F.floor(F.col("first") / F.lit(width * WIDER)) if width == block else F.lit(0)
+        r = runs(r.where(edge).withColumn("_by", by.cast("long")), ["_by"], "first", "end").drop("_by")
+    return done.unionByName(r)
 
 
 def integer_orphans(refs: DataFrame, ref_key: str, parents: DataFrame, key: str, block: int = BLOCK) -> DataFrame:

@@ -67,3 +67,20 @@ def test_hot_target_is_split_and_whole(spark):
 def test_clean_ref(spark):
     df = spark.createDataFrame([("./a",), ("././a",), ("A/b",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(orphans.clean_ref(F.col("t"))).collect()] == ["a", "./a", "A/b", None, ""]
+
+
+def test_runs_across_ranges_of_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(orphans, "WIDER", 2)
+    rng = random.Random(5)
+    keys = sorted({k for _ in range(12) for a in [rng.randrange(-60, 200)] for k in range(a, a + rng.randrange(1, 40))})
+    want, i = [], 0
+    while i < len(keys):
+        j = i
+        while j + 1 < len(keys) and keys[j + 1] == keys[j] + 1:
+            j += 1
+        want.append((keys[i], keys[j] + 1))
+        i = j + 1
+    got = orphans.contiguous_runs(spark.createDataFrame([(k,) for k in keys], "k long"), "k", block=4)
+    assert sorted((r["first"], r["end"]) for r in got.collect()) == want and len(want) > 3
