@@ -29,6 +29,15 @@ def normalize(p: Column) -> Column:
     return F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/")
 
 
+def usage_path(importer: Column, spec: Column) -> Column:
+    """The path that a usage's ``./`` or ``../`` specifier means beside its file, whether it exists or not; others stand as they are."""
+    own = F.split(importer, "/")
+    up = F.size(F.filter(F.split(F.regexp_extract(spec, r"^((?:\.\./)*)", 1), "/"), lambda x: x == ".."))
+    at = F.slice(own, 1, F.greatest(F.size(own) - 1 - up, F.lit(0)))
+    rest = F.regexp_replace(spec, r"^(?:\.\./)+|^\./", "")
+    return F.when(spec.startswith("./") | spec.startswith("../"), F.array_join(F.concat(at, F.array(rest)), "/")).otherwise(spec)
+
+
 def suffixes(p: Column) -> Column:
     """A path and every tail of it that starts after a slash."""
     parts = F.split(p, "/")

@@ -39,21 +39,32 @@ def edges(docs: DataFrame) -> DataFrame:
     )
 
 
-def cross_calls(docs: DataFrame, hops: int = 5) -> DataFrame:
-    """(repo, src, dst, imported_as): calls of imported functions, followed through files that pass them on.
+def symbol_map(docs: DataFrame, hops: int = 5) -> DataFrame:
+    """(repo, path, local, target, symbol_name): what each imported name of a file is, and in which file.
 
-    The called name must be in the function's code; a default import stands for the file's default function.
+    Named and default imports that are relative and not of types only; names that a file passes on are followed
+    to where they come from, ``hops`` files at most. A name that is imported twice is what the later import says.
     """
     nodes = docs.select("repo", "path")
     imp = docs.select("repo", "path", F.explode("imports").alias("i")).select("repo", "path", "i.ord", "i.spec", "i.names", "i.default_name", "i.type_only")
     res = graph.resolve_imports(imp, nodes, "calls").where("target IS NOT NULL AND NOT type_only")
-    named = res.select("repo", "path", F.explode("names").alias("local"), "target").withColumn("symbol_name", F.col("local"))
-    default = res.where("default_name IS NOT NULL").select("repo", "path", F.col("default_name").alias("local"), "target").withColumn("symbol_name", F.lit("default"))
+    named = res.select("repo", "path", F.explode("names").alias("local"), "target", "ord").withColumn("symbol_name", F.col("local"))
+    default = res.where("default_name IS NOT NULL").select("repo", "path", F.col("default_name").alias("local"), "target", "ord").withColumn("symbol_name", F.lit("default"))
     passed = docs.select("repo", "path", F.explode("exports").alias("e")).where("e.reexport").select("repo", F.col("path").alias("target"), F.col("e.name").alias("symbol_name"))
     chain = named.join(passed, ["repo", "target", "symbol_name"], "left_semi").select("repo", F.col("target").alias("path"), "symbol_name").distinct()
     on = chain.join(named.select("repo", "path", "symbol_name", F.col("target").alias("source_file")), ["repo", "path", "symbol_name"])
     ends = graph.follow_chain(on, hops).select("repo", F.col("path").alias("target"), "symbol_name", F.col("origin").alias("_end"))
     uses = named.unionByName(default).join(ends, ["repo", "target", "symbol_name"], "left").withColumn("target", F.coalesce("_end", "target"))
+    last = uses.groupBy("repo", "path", "local").agg(F.max_by(F.struct("target", "symbol_name"), "ord").alias("_s"))
+    return last.select("repo", "path", "local", "_s.target", "_s.symbol_name")
+
+
+def cross_calls(docs: DataFrame, hops: int = 5) -> DataFrame:
+    """(repo, src, dst, imported_as): calls of imported functions, followed through files that pass them on.
+
+    The called name must be in the function's code; a default import stands for the file's default function.
+    """
+    uses = symbol_map(docs, hops)
     f = functions(docs)
     main = f.where("is_default_export").groupBy("repo", F.col("path").alias("target")).agg(F.min("func_name").alias("_main"))
     called = f.select("repo", "path", "node_id", F.explode(F.array_distinct(F.regexp_extract_all("code_snippet", F.lit(r"(?<![\w.$])([\w$]+)\s*\("), F.lit(1)))).alias("local"))
@@ -61,6 +72,14 @@ def cross_calls(docs: DataFrame, hops: int = 5) -> DataFrame:
     return hit.where("name IS NOT NULL").select("repo", F.col("node_id").alias("src"), F.concat_ws(":", "target", "name").alias("dst"), F.when(F.col("local") != F.col("name"), F.col("local")).alias("imported_as")).distinct()
 
 
+def with_cross_calls(docs: DataFrame) -> DataFrame:
+    """(repo, node_id, calls, called_by) of the functions that call into another file or are called from one, each list sorted."""
+    c = cross_calls(docs)
+    a = c.groupBy("repo", F.col("src").alias("node_id")).agg(F.array_sort(F.collect_list("dst")).alias("calls"))
+    b = c.groupBy("repo", F.col("dst").alias("node_id")).agg(F.array_sort(F.collect_list("src")).alias("called_by"))
+    return a.join(b, ["repo", "node_id"], "full_outer")
+
+
 def patterns(docs: DataFrame) -> DataFrame:
     """(repo, path, pattern, location) of retry, cache, builder and singleton in documents.
 
@@ -81,6 +100,14 @@ def with_patterns(docs: DataFrame) -> DataFrame:
     return docs.join(own.select("repo", "path", F.transform("_p", lambda p: F.struct(p["pattern"].alias("pattern"), p["location"].alias("location"))).alias("patterns")), ["repo", "path"], "left")
 
 
+def with_confidence(text: DataFrame, functions: DataFrame) -> DataFrame:
+    """Text (repo, id, gotchas, ...) of files with ``confidence``: for each gotcha, in order, how far its identifiers are names of the file's functions."""
+    each = text.select("repo", F.col("id").alias("path"), F.posexplode("gotchas").alias("name", "text"))
+    sure = textops.claim_confidence(each, functions.select("repo", "path", F.col("func_name").alias("known")), ["repo", "path"])
+    own = sure.groupBy("repo", F.col("path").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("name", "confidence"))), lambda x: x["confidence"]).alias("confidence"))
+    return text.join(own, ["repo", "id"], "left").withColumn("confidence", F.coalesce("confidence", F.array().cast("array<string>")))
+
+
 def prose(docs: DataFrame, text_model: model.TextModel = model.offline, concurrency: int | None = 5) -> DataFrame:
     """Text of all files, then of all modules from their files' summaries."""
     exports = F.transform("exports", lambda e: e["name"])

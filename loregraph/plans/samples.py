@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loregraph import samples
+from loregraph.functions.paths import usage_path
 from loregraph.operators import graph, history, nodes, search
 from loregraph.plans import pipeline
 from loregraph.sources import files
@@ -111,10 +112,17 @@ def x_cross_calls(s, d):
 
 def x_calls_attached(s, d):
     """Each function with what it calls in other files, and what calls it from there."""
-    c = pipeline.cross_calls(_docs(s))
-    a = c.groupBy(F.col("src").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("calls"))
-    b = c.groupBy(F.col("dst").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list("src")), ",").alias("called_by"))
-    return a.join(b, "node_id", "full_outer")
+    return _joined(pipeline.with_cross_calls(_docs(s)).select("node_id", "calls", "called_by"), "calls", "called_by")
+
+
+def x_symbol_map(s, d):
+    """What each imported name is, and in which file."""
+    return pipeline.symbol_map(_docs(s)).select("path", "local", "target", "symbol_name")
+
+
+def x_usage_paths(s, d):
+    """The path that each usage's specifier means beside its file; no file need be there."""
+    return _each(s, "usages").select("path", "source", usage_path(F.col("path"), F.col("source")).alias("meant")).distinct()
 
 
 def x_consumers(s, d):
@@ -193,6 +201,18 @@ def x_prose(s, d):
     return pipeline.prose(_docs(s)).select("id", "summary", "error")
 
 
+def _warner(prompt: str) -> str:
+    """A model that says the same three things of every file."""
+    return '{"summary": "s", "purpose": "p", "gotchas": ["fill throws before refill runs", "litres rounds twice", "beware of the dog"]}'
+
+
+def x_gotchas(s, d):
+    """Gotchas of each file's text with what their identifiers are worth there."""
+    docs = _docs(s).where("size(functions) > 0")
+    text = pipeline.prose(docs, _warner).join(docs.select(F.col("path").alias("id")), "id", "left_semi")
+    return _joined(pipeline.with_confidence(text, pipeline.functions(docs)).select("id", "confidence"), "confidence")
+
+
 def x_index(s, d):
     """Entries of the keyword index that exported names and modules give."""
     docs = _docs(s)
@@ -464,6 +484,36 @@ ORACLES = {
         ('src/util/oil.ts:litres', None, 'src/http/controller.ts:postFill,src/lamps/service.ts:fill'),
         ('src/util/retry.ts:withRetry', None, 'src/http/controller.ts:postRefill'),
     ),
+    "x_symbol_map": _values(
+        "path VARCHAR, local VARCHAR, target VARCHAR, symbol_name VARCHAR",
+        ('src/http/controller.ts', 'fill', 'src/lamps/service.ts', 'fill'),
+        ('src/http/controller.ts', 'lightUp', 'src/lamps/service.ts', 'default'),
+        ('src/http/controller.ts', 'litres', 'src/util/oil.ts', 'litres'),
+        ('src/http/controller.ts', 'refill', 'src/lamps/service.ts', 'refill'),
+        ('src/http/controller.ts', 'withRetry', 'src/util/retry.ts', 'withRetry'),
+        ('src/index.ts', 'fill', 'src/lamps/service.ts', 'fill'),
+        ('src/lamps/__tests__/store.spec.ts', 'LampStore', 'src/lamps/store.ts', 'LampStore'),
+        ('src/lamps/__tests__/store.spec.ts', 'getInstance', 'src/lamps/store.ts', 'getInstance'),
+        ('src/lamps/service.test.ts', 'fill', 'src/lamps/service.ts', 'fill'),
+        ('src/lamps/service.ts', 'LampStore', 'src/lamps/store.ts', 'LampStore'),
+        ('src/lamps/service.ts', 'half', 'src/util/oil.ts', 'half'),
+        ('src/lamps/service.ts', 'litres', 'src/util/oil.ts', 'litres'),
+        ('src/util/index.ts', 'half', 'src/util/oil.ts', 'half'),
+        ('src/util/index.ts', 'litres', 'src/util/oil.ts', 'litres'),
+    ),
+    "x_usage_paths": _values(
+        "path VARCHAR, source VARCHAR, meant VARCHAR",
+        ('src/http/controller.ts', '../lamps/service', 'src/lamps/service'),
+        ('src/http/controller.ts', '../types', 'src/types'),
+        ('src/http/controller.ts', '../util', 'src/util'),
+        ('src/http/controller.ts', '../util/retry', 'src/util/retry'),
+        ('src/index.ts', './lamps/service', 'src/lamps/service'),
+        ('src/lamps/__tests__/store.spec.ts', '../store', 'src/lamps/store'),
+        ('src/lamps/service.test.ts', './service', 'src/lamps/service'),
+        ('src/lamps/service.ts', '../types', 'src/types'),
+        ('src/lamps/service.ts', '../util', 'src/util'),
+        ('src/util/index.ts', './oil.js', 'src/util/oil.js'),
+    ),
     "x_consumers": _values(
         "node_id VARCHAR, production BIGINT, tests BIGINT",
         ('src/http/controller.ts:postFill', 0, 0),
@@ -611,6 +661,16 @@ ORACLES = {
         ('src/util/oil.ts', 'src/util/oil.ts provides litres, half.', None),
         ('src/util/retry.ts', 'src/util/retry.ts provides withRetry.', None),
     ),
+    "x_gotchas": _values(
+        "id VARCHAR, confidence VARCHAR",
+        ('src/http/controller.ts', 'low,low,low'),
+        ('src/lamps/__tests__/store.spec.ts', 'low,low,low'),
+        ('src/lamps/service.test.ts', 'low,low,low'),
+        ('src/lamps/service.ts', 'medium,low,low'),
+        ('src/lamps/store.ts', 'low,low,low'),
+        ('src/util/oil.ts', 'low,medium,low'),
+        ('src/util/retry.ts', 'low,low,low'),
+    ),
     "x_index": _values(
         "kind VARCHAR, token VARCHAR, path VARCHAR",
         ('error', '503', 'src/lamps/service.ts'),
