@@ -79,20 +79,16 @@ def is_passage(s: list[str], triples: set[tuple[str, ...]]) -> bool:
 
 
 class Models:
-    """Subject models and background over the n-grams of the labelled sentences."""
-
-    def __init__(self, subjects: list[str], vocabulary: dict[tuple[str, ...], int]) -> None:
-        self.subjects, self.vocabulary = subjects, vocabulary
-        n = len(vocabulary)
-        self.counts = np.zeros((n, len(subjects) + 1))  # the last column: sentences about no subject
-        self.back = np.zeros(n)
-        self.back_total = 1.0
-        self.head = np.full(n, -1, np.int64)
-        for g, i in vocabulary.items():
-            if len(g) == 2:
-                self.head[i] = vocabulary[g[:1]]
+    """Subject models and background over the n-grams of the labelled sentences.
+
+    ``tail`` and ``head``: the last and the first word of each n-gram, as numbers; a word has no head.
+    """
+
+    def __init__(self, subjects: list[str], head: np.ndarray, tail: np.ndarray, back: np.ndarray, back_total: int) -> None:
+        self.subjects, self.head, self.tail = subjects, head, tail
+        self.counts = np.zeros((len(tail), len(subjects) + 1))  # the last column: sentences about no subject
+        self.back, self.back_total = back.astype(float), float(max(back_total, 1))
         self.table: np.ndarray | None = None
-        self.base: np.ndarray | None = None
         self.margin = np.full(len(subjects), 0.3)
 
     def fit(self) -> None:
@@ -108,22 +104,11 @@ class Models:
         s2 = self.counts / np.maximum(held, 1)
         w2 = np.where(uni[:, None], 0, OWN2 * held / (held + HELD))
         mix = w2 * s2 + OWN1 * s1[tail] + (1 - OWN1 - w2) * bg[:, None]
-        self.table = (np.log(mix) - np.log(bg)[:, None]).astype(np.float32)
+        self.table = np.zeros((len(mix) + 1, mix.shape[1]), np.float32)  # the last row: words that aren't known
+        self.table[:-1] = np.log(mix) - np.log(bg)[:, None]
         if own[-1] == 0:  # before any sentence is assigned, the background stands in for no subject
             self.table[:, -1] = 0
 
-    def index(self, s: list[str]) -> list[int]:
-        """For each token its bigram if known, else its unigram, else nothing (-1): unknown words tell the models apart by nothing."""
-        v = self.vocabulary
-        out, prev = [], None
-        for w in s:
-            i = v.get((prev, w)) if prev is not None else None
-            if i is None:
-                i = v.get((w,), -1)
-            out.append(i)
-            prev = w
-        return out
-
     def scores(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """(sentence, subject): per-token cross-entropy of the better background model less the subject's.
 
@@ -131,11 +116,24 @@ class Models:
         """
         if not len(sizes):
             return np.zeros((0, len(self.subjects)))
-        table = np.concatenate([self.table, np.zeros((1, self.table.shape[1]), np.float32)])  # -1 is the last row
-        out = np.add.reduceat(table[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        out = np.add.reduceat(self.table[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
         return out[:, :-1] - np.maximum(out[:, -1:], 0)  # the table is over the background of all documents, which is 0 in it
 
 
+class Index:
+    """Numbers of the n-grams of sentences."""
+
+    def __init__(self, vocabulary: dict[tuple[str, ...], int]) -> None:
+        self.one = {g[0]: i for g, i in vocabulary.items() if len(g) == 1}
+        self.two = {g: i for g, i in vocabulary.items() if len(g) == 2}
+
+    def __call__(self, s: list[str]) -> list[int]:
+        """For each token its bigram if known, else its unigram, else nothing (-1): unknown words tell the models apart by nothing."""
+        one, two = self.one.get, self.two.get
+        words = [one(w, -1) for w in s]
+        return [words[0], *[two(p, w) for p, w in zip(zip(s, s[1:], strict=False), words[1:], strict=True)]] if s else []
+
+
 def vocabulary_of(docs: Iterable[list[list[str]]]) -> dict[tuple[str, ...], int]:
     """Numbers of the words of labelled documents, and of the word pairs that occur twice."""
     uni: Counter = Counter()
@@ -155,12 +153,14 @@ def count_grams(flat: np.ndarray, tail: np.ndarray) -> np.ndarray:
     return np.bincount(words, minlength=len(tail)) + np.bincount(seen[seen != words], minlength=len(tail))
 
 
-def tails(vocabulary: dict[tuple[str, ...], int]) -> np.ndarray:
-    """For each n-gram, its last word."""
-    out = np.zeros(len(vocabulary), np.int64)
+def ends(vocabulary: dict[tuple[str, ...], int]) -> tuple[np.ndarray, np.ndarray]:
+    """(head, tail): for each n-gram the number of its first word, -1 where it is one, and of its last."""
+    head, tail = np.full(len(vocabulary), -1, np.int64), np.zeros(len(vocabulary), np.int64)
     for g, i in vocabulary.items():
-        out[i] = vocabulary[(g[-1],)]
-    return out
+        tail[i] = vocabulary[g[-1:]]
+        if len(g) == 2:
+            head[i] = vocabulary[g[:1]]
+    return head, tail
 
 
 def flattened(sentences: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,30 +177,28 @@ def train(docs: list[list[list[str]]], labels: list[set[str]], subjects: list[st
     for k, own in enumerate(labels):
         for j, s in enumerate(subjects):
             marked[k, j] = s in own
-    m = _fit(docs, marked, subjects, vocabulary, back, back_total)
-    halves = [np.arange(h, len(docs), 2) for h in (0, 1)]
-    score, owner = [], []
-    for own, other in (halves, halves[::-1]):
-        half = _fit([docs[k] for k in own], marked[own], subjects, vocabulary, back, back_total)
-        for k in other:
-            if docs[k]:
-                score.append(half.scores(*flattened([half.index(s) for s in docs[k]])))
-                owner.append(np.full(len(docs[k]), k))
-    if score:
-        m.margin = calibrate(np.concatenate(score), np.concatenate(owner), marked)
+    index = Index(vocabulary)
+    flat, sizes = flattened([index(s) for d in docs for s in d])
+    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    head, tail = ends(vocabulary)
+    fit = lambda f, n, o: _fit(f, n, o, marked, Models(subjects, head, tail, back, back_total))
+    m = fit(flat, sizes, owner)
+    score = np.zeros((len(owner), len(subjects)))
+    for own in (owner % 2 == 0, owner % 2 == 1):
+        words = np.repeat(own, sizes)
+        score[~own] = fit(flat[words], sizes[own], owner[own]).scores(flat[~words], sizes[~own])
+    if len(owner):
+        m.margin = calibrate(score, owner, marked)
     return m
 
 
-def _fit(docs: list[list[list[str]]], marked: np.ndarray, subjects: list[str], vocabulary: dict, back: np.ndarray, back_total: int) -> Models:
-    """Sentences start shared out among their document's labels; then each goes to the subject it scores best
-    for (labels of its document favoured), or to the model of no subject, and all are fitted anew.
+def _fit(flat: np.ndarray, sizes: np.ndarray, owner: np.ndarray, marked: np.ndarray, m: Models) -> Models:
+    """Fit models to sentences, ``sizes`` of ``flat`` one after another, of the documents ``owner``, marked with subjects.
+
+    Sentences start shared out among their document's labels; then each goes to the subject it scores best for
+    (labels of its document favoured), or to the model of no subject, and all are fitted anew.
     """
-    m = Models(subjects, vocabulary)
-    m.back, m.back_total = back.astype(float), float(max(back_total, 1))
-    m.tail = tails(vocabulary)
-    both = [(s, k) for k, d in enumerate(docs) for s in d]
-    owner = np.array([k for _, k in both], np.int64)
-    flat, sizes = flattened([m.index(s) for s, _ in both])
+    subjects = m.subjects
     which = np.repeat(np.arange(len(sizes)), sizes)
     ok = flat >= 0
     words = m.tail[flat[ok]]
@@ -210,7 +208,7 @@ def _fit(docs: list[list[list[str]]], marked: np.ndarray, subjects: list[str], v
     weight[:, :-1] = (marked / np.maximum(marked.sum(1, keepdims=True), 1))[owner]
     for r in range(ROUNDS):
         for j in range(len(subjects) + 1):
-            m.counts[:, j] = np.bincount(grams, weights=weight[which, j], minlength=len(vocabulary))
+            m.counts[:, j] = np.bincount(grams, weights=weight[which, j], minlength=len(m.tail))
         m.fit()
         if r == ROUNDS - 1 or not len(owner):
             break
@@ -304,7 +302,7 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, items
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, triples = Models([], sent.value).index, tests.value
+        index, triples = Index(sent.value), tests.value
         for pdf in batches:
             grams, sizes = [], []
             for t in pdf["text"]:
@@ -313,7 +311,7 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, items
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "grams": grams, "sizes": sizes})
 
     own = cut(texts.mapInPandas(read, f"doc_id {kind}, grams array<int>, sizes array<int>").where(F.size("sizes") > 0))
-    tail = spark.sparkContext.broadcast(tails(vocabulary))
+    tail = spark.sparkContext.broadcast(ends(vocabulary)[1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = np.zeros(len(tail.value), np.int64), 0
@@ -331,9 +329,7 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, items
             back_total = r.n
         else:
             back[r.gram] = r.n
-    model = train(docs, [set(x) for _, x in sample], names, vocabulary, back, back_total)
-    model.vocabulary = {}  # not needed to score
-    fitted = spark.sparkContext.broadcast(model)
+    fitted = spark.sparkContext.broadcast(train(docs, [set(x) for _, x in sample], names, vocabulary, back, back_total))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = fitted.value

@@ -63,9 +63,9 @@ def test_held_out_documents(spark):
 def test_background_counts_are_whole():
     docs = [[["a", "b", "a", "b"], ["c"]], [["a", "b"]]]
     v = subjects.vocabulary_of(docs)
-    m = subjects.Models([], v)
-    flat, sizes = subjects.flattened([m.index(s) for d in docs for s in d] + [m.index(["z", "b"])])
-    n = subjects.count_grams(flat, subjects.tails(v))
+    index = subjects.Index(v)
+    flat, sizes = subjects.flattened([index(s) for d in docs for s in d] + [index(["z", "b"])])
+    n = subjects.count_grams(flat, subjects.ends(v)[1])
     assert len(flat) == 9 and n[v[("a",)]] == 3 and n[v[("b",)]] == 4 and n[v[("a", "b")]] == 3 and ("b", "a") not in v
 
 
@@ -90,8 +90,8 @@ def test_margins_of_their_own():
 
 
 def test_scores_are_over_the_better_background():
-    m = subjects.Models(["a"], {("x",): 0, ("y",): 1})
-    m.table = np.array([[1.0, -0.5], [0.2, 0.4]], np.float32)
+    m = subjects.Models(["a"], np.full(2, -1), np.arange(2), np.zeros(2), 1)
+    m.table = np.array([[1.0, -0.5], [0.2, 0.4], [0.0, 0.0]], np.float32)
     assert np.allclose(m.scores(np.array([0, 1, -1]), np.array([1, 2])), [[1.0], [0.1 - 0.2]])
 
 
