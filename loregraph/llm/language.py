@@ -117,34 +117,30 @@ class Model:
         self.characters = Characters(self.codes)
         size, n_states = len(chars) + 1, len(STATES)
         self.base = size + 1
-        logs: list[dict[str, np.ndarray]] = [{} for _ in range(ORDER + 1)]
-        weight: list[dict[str, np.ndarray]] = [{} for _ in range(ORDER + 1)]
-        total = np.array([sum(v for g, v in c.items() if len(g) == 1) for c in counts], float)
-        floor = np.full(n_states, 1.0 / (size + 60))
-        for n in range(1, ORDER + 1):
-            seen = {g for c in counts for g in c if len(g) == n}
-            kinds: dict[str, np.ndarray] = {}
-            mass: dict[str, np.ndarray] = {}
-            for g in seen:
-                h = g[:-1]
-                v = np.array([c.get(g, 0) for c in counts], float)
-                kinds[h] = kinds.get(h, 0) + (v > 0)
-                mass[h] = mass.get(h, 0) + v
-            for h in mass:  # Witten-Bell: the share of what hasn't been seen is that of the different successors
-                weight[n][h] = np.where(mass[h] > 0, kinds[h] / np.maximum(mass[h] + kinds[h], 1e-9), 1.0)
-            for g in seen:
-                h = g[:-1]
-                v = np.array([c.get(g, 0) for c in counts], float)
-                lower = floor if n == 1 else logs[n - 1].get(g[1:], floor)
-                w = weight[n][h]
-                logs[n][g] = np.where(mass[h] > 0, (1 - w) * v / np.maximum(mass[h], 1e-9), 0) + w * lower
-        self.floor = np.log(floor * weight[1][""]).astype(np.float32)
         self.tables = []
+        floor = np.full(n_states, 1.0 / (size + 60))
+        known: dict[str, int] = {}
+        shares = floor[None]  # of the n-grams that are one character shorter
         for n in range(1, ORDER + 1):
-            g = sorted(logs[n], key=self._key)
-            h = sorted(weight[n], key=self._key)
-            self.tables.append((np.array([self._key(x) for x in g]), np.log(np.array([logs[n][x] for x in g])).astype(np.float32), np.array([self._key(x) for x in h]), np.log(np.array([weight[n][x] for x in h])).astype(np.float32)))
-        assert total.all()
+            grams = sorted({g for c in counts for g in c if len(g) == n}, key=self._key)
+            at = {g: i for i, g in enumerate(grams)}
+            seen = np.zeros((len(grams), n_states))
+            for k, c in enumerate(counts):
+                own = [(at[g], v) for g, v in c.items() if len(g) == n]
+                seen[[i for i, _ in own], k] = [v for _, v in own]
+            heads = sorted({g[:-1] for g in grams}, key=self._key)
+            place = {h: i for i, h in enumerate(heads)}
+            head = np.array([place[g[:-1]] for g in grams])
+            mass, kinds = np.zeros((len(heads), n_states)), np.zeros((len(heads), n_states))
+            np.add.at(mass, head, seen)
+            np.add.at(kinds, head, seen > 0)
+            weight = np.where(mass > 0, kinds / np.maximum(mass + kinds, 1e-9), 1.0)  # Witten-Bell: the share of what hasn't been seen is that of the different successors
+            lower = shares[[known[g[1:]] for g in grams]] if n > 1 else shares
+            shares = np.where(mass[head] > 0, (1 - weight[head]) * seen / np.maximum(mass[head], 1e-9), 0) + weight[head] * lower
+            known = at
+            if n == 1:
+                self.floor = np.log(floor * weight[0]).astype(np.float32)
+            self.tables.append((np.array([self._key(x) for x in grams]), np.log(shares).astype(np.float32), np.array([self._key(x) for x in heads]), np.log(weight).astype(np.float32)))
 
     def _key(self, gram: str) -> int:
         k = 0
@@ -213,18 +209,15 @@ def spans_of_source(text: str) -> list[tuple[int, int]]:
 _OPEN, _CODE = 1, 2
 
 
-def _allowed(text: str, source: bool, tokens: list[tuple[int, int]]) -> np.ndarray:
-    """Per character: 0 where only code may be, _OPEN where language may be, _CODE in ``tokens`` that look like code there."""
+def _allow(ok: np.ndarray, text: str, source: bool, tokens: list[tuple[int, int]]) -> None:
+    """Set, per character, 0 where only code may be, and _CODE in ``tokens`` that look like code; _OPEN stays where language may be."""
     line = _MARKER.sub("", text)
     if source or _STATEMENT.match(line) or re.match(r"\s*[\w.]+\((?:\"|`|')", line):
-        ok = np.zeros(len(text), np.int8)
+        ok[:] = 0
         for a, b in spans_of_source(text) if source else [m.span() for m in _LITERAL.finditer(text)]:
             ok[a:b] = _OPEN
-    else:
-        ok = np.full(len(text), _OPEN, np.int8)
     for a, b in tokens:
         ok[a:b] *= _CODE
-    return ok
 
 
 #: What every match of _CODE_TOKEN holds.
@@ -235,7 +228,7 @@ def code_tokens(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _CODE_TOKEN.finditer(text)] if _MAY.search(text) else []
 
 
-#: Scores of _allowed's values.
+#: Scores of _allow's values.
 _BAN = np.array([-1e3, 0, IN_CODE], np.float32)
 _ENDS = re.compile(r"[.!?;:/。！？]\s*(?=\S)|--\s+|[\"`']")
 
@@ -258,17 +251,20 @@ def paths(texts: list[str], source: bool = False, tokens: list[list[tuple[int, i
         codes = np.full((n, ORDER - 1 + width), gap, np.int64)  # each row after the gaps that a text starts from
         change = np.full((n, width), -1e4, np.float32)
         ban = np.zeros((n, width), np.float32)
-        size = np.zeros(n, np.int64)
-        for r, (i, t) in enumerate(group):
-            size[r] = len(t)
-            own, letter, sign = m.characters.read(t)
-            codes[r, ORDER - 1 : ORDER - 1 + len(t)] = own
-            c = np.full(len(t), CHANGE, np.float32)
-            c[1:][letter[:-1] & letter[1:] & ~sign[1:]] = -1e4
-            ends = [x.end() for x in _ENDS.finditer(t) if x.end() < len(t)]
-            c[ends] = np.maximum(c[ends], CHANGE_CLAUSE)
-            change[r, : len(t)] = c
-            ban[r, : len(t)] = _BAN[_allowed(t, source, tokens[i])]
+        own, letter, sign = m.characters.read("".join(t for _, t in group))  # all texts of the group end to end
+        size = np.array([len(t) for _, t in group])
+        start = np.cumsum(size) - size
+        row, col = np.repeat(np.arange(n), size), np.arange(len(own)) - np.repeat(start, size)
+        move = np.full(len(own), CHANGE, np.float32)
+        move[1:][letter[:-1] & letter[1:] & ~sign[1:]] = -1e4
+        ok = np.full(len(own), _OPEN, np.int8)
+        ends: list[int] = []
+        for at_, (i, t) in zip(start.tolist(), group, strict=True):
+            ends += [at_ + x.end() for x in _ENDS.finditer(t) if x.end() < len(t)]
+            _allow(ok[at_ : at_ + len(t)], t, source, tokens[i])
+        move[ends] = np.maximum(move[ends], CHANGE_CLAUSE)
+        codes[row, ORDER - 1 + col] = own
+        change[row, col], ban[row, col] = move, _BAN[ok]
         moved = np.zeros((n, width, len(STATES)), bool)
         best = np.zeros((n, width), np.int8)
         for first in range(0, width, BLOCK):
