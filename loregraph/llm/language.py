@@ -201,7 +201,7 @@ _MARKER = re.compile(r"^\s*(?:[@#>*/!-]|\(\w{1,3}\)|\b(?:TODO|FIXME|HACK|XXX|NB|
 def spans_of_source(text: str) -> list[tuple[int, int]]:
     """The comments and string literals of a source text: the only places where language is looked for."""
     out = []
-    for m in re.finditer(rf"//[^\n]*|/\*[\s\S]*?\*/|(?m:^\s*(?:#|--)[^\n]*)|{_LITERAL.pattern}", text):
+    for m in re.finditer(rf"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?m:^[^\S\n]*+(?:#|--)[^\n]*)|{_LITERAL.pattern}", text):
         out.append(m.span())
     return out
 

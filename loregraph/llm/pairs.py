@@ -36,20 +36,20 @@ class Function(NamedTuple):
 
 #: Heads of signatures, up to the bracket that opens the parameters (or the one parameter of an arrow function).
 _BRACE = re.compile(
-    r"^[ \t]*(?P<sig>(?:(?:export|default|declare|public|private|protected|internal|static|final|abstract|override|virtual|async|unsafe|pub(?:\([a-z]+\))?|inline|const)\s+)*"
+    r"^[ \t]*+(?P<sig>(?:(?:export|default|declare|public|private|protected|internal|static|final|abstract|override|virtual|async|unsafe|pub(?:\([a-z]+\))?|inline|const)\s+)*"
     r"(?:function\b\s*\*?\s*(?P<a>[\w$]+)\s*(?:<[^>\n]*>)?\s*(?=\()|(?:fn|func)\s+(?:\([^)\n]*\)\s*)?(?P<b>\w+)\s*(?:<[^>\n]*>)?\s*(?=\()"
-    r"|(?:let|var|const)?\s*(?P<c>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:(?=\()|[\w$]+(?=\s*=>))"
+    r"|(?:(?:let|var|const)\s++)?(?P<c>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:(?=\()|[\w$]+(?=\s*=>))"
     r"|(?:[\w<>\[\],.?]+\s+)?(?P<d>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|else\b|new\b|function\b|await\b)[\w$]+)\s*(?=\()))",
     re.M,
 )
 #: What lies between the closing bracket and the body, for each kind of head.
 _TAIL = {"a": re.compile(r"\s*(?::\s*[^={};\n]+)?(?=\{)"), "b": re.compile(r"[^{;\n]*(?=\{)"), "c": re.compile(r"\s*(?::\s*[^=\n{]+)?=>\s*"), "d": re.compile(r"\s*(?::\s*[^={};\n]+|throws\s+[\w., ]+|const)?\s*(?=\{)")}
-_INDENT = re.compile(r"^(?P<pad>[ \t]*)(?P<sig>(?:async\s+)?def\s+(?P<a>\w+)\s*(?=\())", re.M)
+_INDENT = re.compile(r"^(?P<pad>[ \t]*+)(?P<sig>(?:async\s+)?def\s+(?P<a>\w+)\s*(?=\())", re.M)
 _COLON = re.compile(r"\s*(?:->\s*[^:\n]+)?:")
-_END = re.compile(r"^[ \t]*(?P<sig>(?:local\s+)?(?:def|function)\s+(?:self\.)?(?P<a>[\w.:?!]+)[ \t]*(?:\([^)\n]*\))?)[ \t]*$", re.M)
+_END = re.compile(r"^[ \t]*+(?P<sig>(?:local\s+)?(?:def|function)\s+(?:self\.)?(?P<a>[\w.:?!]+)[ \t]*(?:\([^)\n]*\))?)[ \t]*$", re.M)
 _OPENS = re.compile(r"^\s*(?:if|unless|while|until|for|case|begin|def|class|module|function|local function|repeat)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$|=\s*(?:if|case|begin|function)\b|\bfunction\s*\([^)]*\)\s*$")
 _DECORATOR = re.compile(r"^\s*(?:@\w|#\[|\[\w)")
-_SKIP = re.compile(r"""^[ \t]*(?:```|~~~)[^\n]*|\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*[\s\S]*?\*/|[(){}]""", re.M)
+_SKIP = re.compile(r"""^[ \t]*(?:```|~~~)[^\n]*|\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|[(){}]""", re.M)
 
 
 def comments(lines: list[str]) -> dict[int, tuple[int, str]]:

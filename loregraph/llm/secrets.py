@@ -58,7 +58,7 @@ PATHLIKE = re.compile(r"^(?:\.{0,2}/|[\w-]+(?:\.[\w-]+)+$|@?[\w-]+(?:/[\w.-]+)+\
 
 STRING = r"""'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`"""
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:(?!-----END)[\s\S])*)(?:-----END[^-]*-----)?")
-_URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@'\"`$<>{}]*:(?P<v>[^\s/'\"`]+?)@(?=[\w\[$])")
+_URL = re.compile(r"(?<![a-zA-Z0-9+.-])[a-zA-Z0-9+.-]++://[^\s/:@'\"`$<>{}]*:(?P<v>[^\s/'\"`]+?)@(?=[\w\[$])")
 _QUERY = re.compile(r"(?i)[?&](?:[\w-]*(?:token|key|secret|sig(?:nature)?|pass(?:word)?|auth|code))=(?P<v>[^&\s'\"`#]+)")
 _SCHEME = re.compile(r"(?i)\b(?P<s>bearer|basic|token)\s+(?P<v>[A-Za-z0-9._~+/=\-]{8,}|\$[^\s'\"`]+)")
 _FLAG = re.compile(r"(?i)(?<=\s)--?(?P<n>[a-z-]*(?:pass(?:word|wd)?|pwd|secret|token|key|pin))[= ](?P<q>['\"]?)(?P<v>[^\s'\"]+)(?P=q)")
