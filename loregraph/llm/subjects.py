@@ -44,7 +44,7 @@ OWN_MARGIN = 60
 TEST_WORDS = 4_000_000
 
 _FENCE = re.compile(r"```[\s\S]*?(?:```|\Z)")
-_CODE_LINE = re.compile(r"^\s*+(?:(?:export|import|const|let|var|return|throw|for|while|if|else|switch|case|function|async|class|interface|type|await|void)\b.*[{};()=]|(?=.*[;{(]\s*$)(?:[\w.\[\]$][\w\[\]$]*+\.|[\w.\[\]$]++\s*[(=])|[{}()\[\];,]+\s*$|@\w|[\w./-]+\.(?:ts|js|tsx|jsx|json|md)\s*$)")
+_CODE_LINE = re.compile(r"^\s*+(?:(?:export|import|const|let|var|return|throw|for|while|if|else|switch|case|function|async|class|interface|type|await|void)\b.*[{};()=]|(?:[\w.\[\]$][\w\[\]$]*+\.|[\w.\[\]$]++\s*[(=]).*[;{(]\s*$|[{}()\[\];,]+\s*$|@\w|[\w./-]+\.(?:ts|js|tsx|jsx|json|md)\s*$)")
 _INLINE = re.compile(r"`[^`\n]*`|<[^<>\n]+>|\bhttps?://\S+|(?<![\w.-])(?:[\w.-]+/)+[\w.-]+|\b[a-z]+[A-Z]\w*(?:\(\))?|\b[A-Z][a-z]+[A-Z]\w*|\b\w+\(\)|\b\w*\d\w*\b")
 _BREAK = re.compile(r"(?<=[.!?;:])\s+(?=[^\sa-zß-öø-ÿ])|\n\s*(?:\n|[-*+>#]|\d+[.)]|/\*+|//|\*)\s*|(?<=[.!?])\s+")
 _SHORT_NOTE = re.compile(r"^\s*(?://|#)\s*\S+(?:\s+\S+){0,4}\s*$")
