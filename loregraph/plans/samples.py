@@ -1,7 +1,7 @@
-"""The extractor's operators on a small project of our own, with the rows that reading its sources gives.
+"""The extractor's operators on a small project of our own, with the rows that are expected.
 
-The sources are the files of ``loregraph/samples/harbour`` and the log beside them; the SQL lists the rows that
-are expected of them. All files are read, whole.
+The sources are the files of ``loregraph/samples/harbour`` and the log beside them. The SQL lists rows that the
+extractor printed and that were then checked against the sources by reading. All files are read, whole.
 """
 
 from __future__ import annotations
@@ -238,7 +238,7 @@ def _values(types: str, *rows: tuple) -> str:
     return f"SELECT {', '.join(f'CAST({n} AS {t}) AS {n}' for n, t in cols)} FROM (VALUES {body}) t({', '.join(n for n, _ in cols)})"
 
 
-# What reading the sources gives.
+# Printed by the extractor, then checked against the sources.
 ORACLES = {
     "x_files": _values(
         "path VARCHAR, characters BIGINT",
