@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,18 +152,21 @@ class Model:
         get = self.codes.get
         return np.fromiter((get(c, 0) for c in t), np.int64, len(t))
 
-    def emissions(self, codes: np.ndarray) -> np.ndarray:
-        """Log-probability (position, state) of each character of texts that are parted by at least ORDER - 1 gaps."""
+    def emissions(self, codes: np.ndarray, step: int = 1, asked: np.ndarray | None = None) -> np.ndarray:
+        """Log-probability (position, state) of each character of texts that are parted by at least ORDER - 1 gaps.
+
+        The character before one stands ``step`` positions before it. Only ``asked`` positions are filled, if given.
+        """
         n_pos = len(codes)
         out = np.zeros((n_pos, len(STATES)), np.float32)
-        todo = np.arange(n_pos)
+        todo = np.arange(n_pos) if asked is None else asked
         gap = self.codes[_GAP]
-        padded = np.concatenate([np.full(ORDER - 1, gap, np.int64), codes])
+        padded = np.concatenate([np.full((ORDER - 1) * step, gap, np.int64), codes])
         for n in range(ORDER, 0, -1):
             grams, logs, heads, weights = self.tables[n - 1]
             key = np.zeros(len(todo), np.int64)
             for j in range(n - 1, -1, -1):
-                key = key * self.base + padded[todo + ORDER - 1 - j]
+                key = key * self.base + padded[todo + (ORDER - 1 - j) * step]
             at = np.minimum(np.searchsorted(grams, key), len(grams) - 1)
             hit = grams[at] == key
             out[todo[hit]] += logs[at[hit]]
@@ -248,13 +251,13 @@ def paths(texts: list[str], source: bool = False, tokens: list[list[tuple[int, i
         group = jobs[at:end]
         at = end
         n, width = len(group), len(group[-1][1])
-        codes = np.full((n, ORDER - 1 + width), gap, np.int64)  # each row after the gaps that a text starts from
-        change = np.full((n, width), -1e4, np.float32)
-        ban = np.zeros((n, width), np.float32)
+        codes = np.full((ORDER - 1 + width, n), gap, np.int64)  # a column per text, after the gaps that it starts from
+        change = np.full((width, n), -1e4, np.float32)
+        ban = np.zeros((width, n), np.float32)
         own, letter, sign = m.characters.read("".join(t for _, t in group))  # all texts of the group end to end
         size = np.array([len(t) for _, t in group])
         start = np.cumsum(size) - size
-        row, col = np.repeat(np.arange(n), size), np.arange(len(own)) - np.repeat(start, size)
+        text, place = np.repeat(np.arange(n), size), np.arange(len(own)) - np.repeat(start, size)
         move = np.full(len(own), CHANGE, np.float32)
         move[1:][letter[:-1] & letter[1:] & ~sign[1:]] = -1e4
         ok = np.full(len(own), _OPEN, np.int8)
@@ -263,31 +266,35 @@ def paths(texts: list[str], source: bool = False, tokens: list[list[tuple[int, i
             ends += [at_ + x.end() for x in _ENDS.finditer(t) if x.end() < len(t)]
             _allow(ok[at_ : at_ + len(t)], t, source, tokens[i])
         move[ends] = np.maximum(move[ends], CHANGE_CLAUSE)
-        codes[row, ORDER - 1 + col] = own
-        change[row, col], ban[row, col] = move, _BAN[ok]
-        moved = np.zeros((n, width, len(STATES)), bool)
-        best = np.zeros((n, width), np.int8)
+        codes[ORDER - 1 + place, text] = own
+        change[place, text], ban[place, text] = move, _BAN[ok]
+        moved = np.zeros((width, n, len(STATES)), bool)
+        best = np.zeros((width, n), np.int8)
+        live = np.searchsorted(size, np.arange(width), "right")  # texts are sorted by length: those from here on reach a position
         for first in range(0, width, BLOCK):
             last = min(first + BLOCK, width)
-            emit = m.emissions(codes[:, first : last + ORDER - 1].ravel()).reshape(n, last - first + ORDER - 1, -1)[:, ORDER - 1 :]
-            emit[:, :, 1:] += ban[:, first:last, None]
+            asked = np.flatnonzero(np.arange(first, last)[:, None] < size) + (ORDER - 1) * n
+            emit = m.emissions(codes[first : last + ORDER - 1].ravel(), n, asked).reshape(last - first + ORDER - 1, n, -1)[ORDER - 1 :]
+            emit[:, :, 1:] += ban[first:last, :, None]
             for t in range(first, last):
                 if t == 0:
-                    score = emit[:, 0].astype(np.float64)
+                    score = emit[0].astype(np.float64)
                     continue
-                top = score.argmax(1)
-                jump = score[np.arange(n), top][:, None] + change[:, t : t + 1]
-                live = t < size
-                go = (jump > score) & live[:, None]
-                moved[:, t], best[:, t] = go, top
-                score = np.where(live[:, None], np.where(go, jump, score) + emit[:, t - first], score)
+                k = live[t]
+                now = score[k:]
+                best[t, k:] = now.argmax(1)
+                jump = (now.max(1) + change[t, k:])[:, None]
+                np.greater(jump, now, out=moved[t, k:])
+                np.maximum(jump, now, out=now)
+                now += emit[t - first, k:]
         state = score.argmax(1)
-        states = np.zeros((n, width), np.int8)
+        states = np.zeros((width, n), np.int8)
         rows = np.arange(n)
         for t in range(width - 1, -1, -1):
-            states[:, t] = state
+            states[t] = state
             if t:
-                state = np.where(moved[rows, t, state], best[:, t], state)
+                state = np.where(moved[t, rows, state], best[t], state)
+        states = np.ascontiguousarray(states.T)
         for r, (i, t) in enumerate(group):
             out[i][:] = states[r, : len(t)]
     return out
@@ -307,7 +314,7 @@ def clauses(text: str, path: np.ndarray, tokens: list[tuple[int, int]] | None =
         parts += [text[at:a], " " * (b - a)]
         at = b
     own = "".join([*parts, text[at:]])  # without code
-    cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
+    cuts = [0, *((path[1:] != path[:-1]).nonzero()[0] + 1).tolist(), len(path)]
     runs: list[list[int]] = []
     for a, b in zip(cuts, cuts[1:], strict=False):
         s = int(path[a])
@@ -347,16 +354,15 @@ def spoken(texts: DataFrame, keys: list[str], text: str = "text", source: bool =
     schema = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys) + ", lang string, letters long"
     asked = texts.where(F.col(text).rlike(r"\p{L}\s*\P{L}*\p{L}")).select(*keys, F.col(text).alias("_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a in range(0, len(pdf), 4000):
-                part = pdf.iloc[a : a + 4000]
-                which, own = pd.factorize(part["_text"])  # an array of fixed-width strings would pad each text to the longest
-                found = detect(list(own), source)
-                row, lang, n = [], [], []
-                for i, k in enumerate(which):
-                    for x, v in found[k].items():
-                        row.append(i), lang.append(x), n.append(v)
-                yield part[keys].iloc[row].assign(lang=lang, letters=np.array(n, np.int64))
-
-    return asked.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("_text").dictionary_encode()
+            found = detect(own.dictionary.to_pylist(), source)
+            row, lang, n = [], [], []
+            for i, k in enumerate(own.indices.to_pylist()):
+                for x, v in found[k].items():
+                    row.append(i), lang.append(x), n.append(v)
+            if row:  # keys stay as they are: in pandas, numbers beside a null would become floats
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in keys), pa.array(lang, pa.string()), pa.array(n, pa.int64())], [*keys, "lang", "letters"])
+
+    return asked.mapInArrow(run, schema)

@@ -79,3 +79,13 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "id long, text string, lang string")
     assert sorted((r.id or 0, r.lang) for r in language.spoken(df, ["id"]).collect()) == [(0, "de"), (1, "en"), (1, "en")]
     assert language.spoken(df.limit(0), ["id"]).count() == 0
+
+
+def test_rows_without_a_clause_and_long_keys(spark):
+    none = [(1, "inventory item"), (2, "eslint-disable-next-line no-console")]  # the pre-filter lets them through
+    assert language.spoken(spark.createDataFrame(none, "id long, text string").coalesce(1), ["id"]).collect() == []
+    last = spark.createDataFrame([(i, "we have to wait for it") for i in range(4000)] + none, "id long, text string").coalesce(1)  # the part of a batch that is left over has none
+    assert language.spoken(last, ["id"]).distinct().count() == 4000
+    keys = [2**53 + 1, 2**63 - 1, None]
+    rows = spark.createDataFrame([(k, "we have to wait for it") for k in keys], "id long, text string").coalesce(1)
+    assert [r.id for r in language.spoken(rows, ["id"]).collect()] == keys
